@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+def process_cache() -> dict:
+    """A dict of this worker process, kept from one task to the next."""
+    return sys.__dict__.setdefault("_stratum_cache", {})
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, ``<sf_dir>/<name>.parquet`` (a file or a folder)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
