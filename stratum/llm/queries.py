@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import quantiles
+from stratum.llm import neighbours, quantiles
 from stratum.runtime import load
 
 
@@ -21,5 +21,9 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(long, ["dataset_id", "metric"], [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found_pairs(load(spark, d, "insights").select("id", "enc"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found}
 SQL: dict[str, str] = {}
