@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import neighbours, quantiles
+from stratum.llm import clusters, neighbours, quantiles
 from stratum.runtime import load
 
 
@@ -25,5 +25,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.found_pairs(load(spark, d, "insights").select("id", "enc"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.found_clusters(load(spark, d, "insights").select("id", "enc", "shifts"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described_clusters(load(spark, d, "insights").select("id", "enc", "shifts"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p6_found": p6_found, "p6_clusters": p6_clusters}
 SQL: dict[str, str] = {}
