@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import clusters, neighbours, quantiles
+from stratum.llm import clusters, leaks, neighbours, quantiles, tokens
 from stratum.runtime import load
 
 
@@ -33,5 +33,13 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.described_clusters(load(spark, d, "insights").select("id", "enc", "shifts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p6_found": p6_found, "p6_clusters": p6_clusters}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(load(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
