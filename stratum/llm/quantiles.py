@@ -410,7 +410,7 @@ def _count_open(still: DataFrame, deliveries: DataFrame) -> DataFrame:
     xs = xs.unionByName(l.join(r.where("batch_id is null"), (F.col("l.dataset_id") == F.col("q.dataset_id")) & (F.col("l.metric") == F.col("q.metric"))).where(met).select("uid", "record_id", "q.metric", "field", "v", "x"))
     w = xs.groupBy("uid", "record_id", "metric", "field", "v", "x").agg(F.count(F.lit(1)).alias("w"))
     w = saved(w, "counted")
-    mid = w.where("field = 'global_mad'").groupBy("uid").agg(F.percentile("x", F.lit(0.5), "w").alias("mid"))
+    mid = w.where("field = 'global_mad'").groupBy("uid").agg(F.percentile("x", F.lit(0.5), F.col("w")).alias("mid"))
     d = w.join(mid, "uid", "left").withColumn("y", F.when(F.col("field") == "global_mad", F.abs(F.col("x") - F.col("mid"))).otherwise(F.col("x")))
     s = d.groupBy("uid", "record_id", "metric", "field").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") <= F.col("v"), F.col("w")).otherwise(0)).alias("le"), F.sum(F.when(F.col("y") < F.col("v"), F.col("w")).otherwise(0)).alias("lt"))
     return s.where((F.col("le") < LOW * F.col("n")) | (F.col("lt") > HIGH * F.col("n"))).select("record_id", "metric", "field")
