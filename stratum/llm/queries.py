@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import clusters, leaks, neighbours, quantiles, tokens
+from stratum.llm import clusters, leaks, neighbours, quantiles, residue, tokens
 from stratum.runtime import load
 
 
@@ -41,5 +41,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(load(spark, d, "documents")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
