@@ -60,11 +60,8 @@ def _grams(c: np.ndarray, order: int) -> np.ndarray:
 
 
 def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    text, shape = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t in texts:
-        text += np.bincount(_grams(_plain(_codes(f" {t} ")), ORDER), minlength=BUCKETS)
-        shape += np.bincount(_grams(_shapes(f" {t} "), SHAPE_ORDER), minlength=BUCKETS)
-    return text, shape
+    t = "\n".join(f" {x} " for x in texts)
+    return np.bincount(_grams(_plain(_codes(t)), ORDER), minlength=BUCKETS), np.bincount(_grams(_shapes(t), SHAPE_ORDER), minlength=BUCKETS)
 
 
 def _share(counts: np.ndarray) -> np.ndarray:
