@@ -53,6 +53,19 @@ def global_stats(long: DataFrame, keys: list[str], value: str = "value") -> Data
     return med.join(mad, keys).select(*keys, "n", "median", F.when(F.col("mad0") == 0, NORMAL / MEAN_DEV * F.col("mean_dev")).otherwise(F.col("mad0")).alias("mad"))
 
 
+def counted_medians(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys..., n, median): exact medians from counts of distinct values.
+
+    Equal values are combined map-side and a group's values are sorted with spill, so that no group
+    has to fit in memory, whatever the number of groups.
+    """
+    g = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    x = g.withColumn("_up", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    low, high = F.min(F.when(F.col("_up") * 2 >= F.col("_n"), F.col(value))), F.min(F.when(F.col("_up") * 2 > F.col("_n"), F.col(value)))
+    return x.groupBy(*keys).agg(F.max("_n").alias("n"), ((low + high) / 2).alias("median"))
+
+
 def median_test_z(local: Column, median: Column, mad_local: Column, mad: Column, sd: Column, n: Column, factor: Column | float = 1.0) -> Column:
     """z of a cohort's median: 1.2533 * 1.4826 * MAD / sqrt(n f), MAD local, else global, else sd."""
     f = F.lit(factor) if isinstance(factor, float) else factor

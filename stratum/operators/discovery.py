@@ -77,15 +77,14 @@ def levels_to_mass(counts: DataFrame, mass: float = MASS) -> DataFrame:
 def conjunctions(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,), min_rows: int = 1) -> DataFrame:
     """(expression, metric, n, local_median): all conjunctions of ``sizes`` conditions on distinct dimensions.
 
-    One GROUPING SETS query; the metrics are unpivoted first, so that medians of all are one aggregate.
+    The metrics are unpivoted and each row goes to its conjunctions, as GROUPING SETS would send it;
+    equal values combine before the shuffle and medians come from counts (:func:`stats.counted_medians`),
+    so that neither the number of groups nor the size of one has to fit in memory.
     """
     sets = [c for k in sizes for c in combinations(sorted(dims), k)]
-    view = f"_cohorts_{abs(hash((tuple(dims), tuple(metrics), sizes))) % 10**8}"
-    long_form(df, dims, metrics).createOrReplaceTempView(view)
-    parts = ", ".join(f"CASE WHEN grouping({d}) = 0 THEN concat('{d}==', '''', cast({d} as string), '''') END" for d in sorted(dims))
-    nulls = " AND ".join(f"(grouping({d}) = 1 OR {d} IS NOT NULL)" for d in dims)
-    gs = ", ".join(f"(metric, {', '.join(s)})" for s in sets)
-    return df.sparkSession.sql(f"SELECT concat_ws(' AND ', {parts}) AS expression, metric, count(*) AS n, median(value) AS local_median FROM {view} GROUP BY GROUPING SETS ({gs}) HAVING {nulls} AND count(*) >= {int(min_rows)}")
+    named = [F.when(sum((F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.concat_ws(" AND ", *[F.concat(F.lit(f"{x}=='"), F.col(x).cast("string"), F.lit("'")) for x in c])) for c in sets]
+    rows = long_form(df, dims, metrics).select(F.explode(F.array(*named)).alias("expression"), "metric", "value").where("expression is not null")
+    return S.counted_medians(rows, ["expression", "metric"]).where(F.col("n") >= min_rows).select("expression", "metric", "n", F.col("median").alias("local_median"))
 
 
 def slices(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,)) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.runtime import saved
+
 PLANES = {"SPECIALIZES": "structural", "SIBLING": "structural", "CONTRASTS": "structural", "ACTIVATES": "latent", "CO_OCCURS": "latent", "RELATED_TO": "latent", "HAS_METRIC": "schema", "HAS_DIMENSION": "schema", "IN_BATCH": "schema", "BATCH_OF": "schema", "IN_REGION": "spatial", "PARENT_OF": "spatial", "CO_LOCATED": "spatial", "PEAKED_IN": "temporal", "DROPPED_IN": "temporal", "WITHIN": "temporal"}
 STRUCTURAL_FACTOR = 0.85
 STRUCTURAL, LATENT = ["SPECIALIZES", "SIBLING", "CONTRASTS", "CO_LOCATED"], ["ACTIVATES"]
@@ -36,11 +38,12 @@ def both_ways(e: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 def closure(e: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, types: list[str] | None = None) -> DataFrame:
     """(node, distance): breadth-first, one join for each step; a node keeps its least distance."""
-    step = both_ways(e, types).select("at", "to").distinct()
+    step = saved(both_ways(e, types).select("at", "to").distinct(), "steps")
     seen = seeds.select(F.col("node").alias("node"), F.lit(0).alias("distance")).distinct()
     front = seen
     for d in range(1, depth + 1):
         nxt = front.select(F.col("node").alias("at")).join(step, "at").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
+        nxt = saved(nxt, "front")  # each step reads the one before, not all before it
         seen = seen.unionByName(nxt)
         front = nxt
     return seen
@@ -54,14 +57,15 @@ def walk(e: DataFrame, seeds: DataFrame, weights: DataFrame, structural: int = 2
     layers of ``structural`` + ``latent`` joins, keeping the best of each state after each.
     """
     s = both_ways(e, STRUCTURAL).select("at", "to", F.when(F.col("type").isin("CONTRASTS", "CO_LOCATED"), STRUCTURAL_FACTOR * F.col("weight")).otherwise(F.lit(STRUCTURAL_FACTOR)).alias("f")).groupBy("at", "to").agg(F.max("f").alias("f"))
-    up = e.where(F.col("type") == "ACTIVATES").groupBy(F.col("source").alias("at"), F.col("target").alias("anchor")).agg(F.max("weight").alias("f"))
-    state = seeds.select("node", "score", F.lit(0).alias("s"), F.lit(0).alias("l"), F.col("node").alias("via"))
+    s = saved(s, "structural")
+    up = saved(e.where(F.col("type") == "ACTIVATES").groupBy(F.col("source").alias("at"), F.col("target").alias("anchor")).agg(F.max("weight").alias("f")), "latent")
+    state = saved(seeds.select("node", "score", F.lit(0).alias("s"), F.lit(0).alias("l"), F.col("node").alias("via")), "state")
     total = state
     for _ in range(structural + latent):
         a = state.where(F.col("s") < structural).join(s, F.col("node") == F.col("at")).select(F.col("to").alias("node"), (F.col("score") * F.col("f")).alias("score"), (F.col("s") + 1).alias("s"), "l", "via")
         on = state.where(F.col("l") < latent).join(up, F.col("node") == F.col("at")).select("anchor", (F.col("score") * F.col("f")).alias("score"), "s", (F.col("l") + 1).alias("l"), "via").groupBy("anchor", "s", "l").agg(F.max(F.struct("score", "via")).alias("m")).select("anchor", "m.score", "s", "l", "m.via")
         b = on.join(up.withColumnRenamed("at", "to"), "anchor").select(F.col("to").alias("node"), (F.col("score") * F.col("f")).alias("score"), "s", "l", "via")
-        state = a.unionByName(b).groupBy("node", "s", "l").agg(F.max(F.struct("score", "via")).alias("m")).select("node", "m.score", "s", "l", "m.via")
+        state = saved(a.unionByName(b).groupBy("node", "s", "l").agg(F.max(F.struct("score", "via")).alias("m")).select("node", "m.score", "s", "l", "m.via"), "state")
         total = total.unionByName(state)
     best = total.groupBy("node").agg(F.max(F.struct("score", (-(F.col("s") + F.col("l"))).alias("h"), "via")).alias("m")).select("node", "m.score", (-F.col("m.h")).alias("hops"), "m.via")
     return best.join(weights.select(F.col("id").alias("node"), "weight"), "node").select("node", (F.col("score") * F.col("weight")).alias("score"), "hops", "via")

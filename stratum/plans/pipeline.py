@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import discovery, graph, lattice
+from stratum.runtime import saved
 from stratum.sources import files
 
 
@@ -47,7 +48,7 @@ def mine_file(spark: SparkSession, path: str, o: Options) -> DataFrame:
 def compile_graph(insights: DataFrame, activations: DataFrame | None = None) -> DataFrame:
     """All edges of a set of findings: schema and structural planes, and activations if given."""
     s = lattice.scopes(insights)
-    sib = lattice.siblings(s)
+    sib = saved(lattice.siblings(s), "siblings")
     e = graph.schema_plane(insights).unionByName(graph.edges(lattice.specialisations(s), "child", "parent", "SPECIALIZES")).unionByName(graph.edges(sib, "a", "b", "SIBLING"))
     e = e.unionByName(graph.edges(lattice.contrasts(sib.select("a", "b"), s), "a", "b", "CONTRASTS", F.least(F.lit(1.0), F.col("strength") / 10)))
     return e.unionByName(graph.edges(activations, "id", "anchor", "ACTIVATES", F.col("strength"))) if activations is not None else e
@@ -55,7 +56,7 @@ def compile_graph(insights: DataFrame, activations: DataFrame | None = None) ->
 
 def answer(insights: DataFrame, activations: DataFrame, target: str, attribute: str, value: str, direction: int, most: int = 10) -> DataFrame:
     """(node, score, hops, via): findings that answer a parsed question, best first."""
-    e = compile_graph(insights, activations)
+    e = saved(compile_graph(insights, activations), "graph")
     s = lattice.scopes(insights)
     found = graph.seeds(graph.seed_scores(insights, target, attribute, value, direction), s.select("id", F.to_json("conds").alias("scope")))
     return graph.walk(e, found.withColumnRenamed("id", "node"), s.select("id", "weight")).orderBy(F.desc("score"), "node").limit(most)
