@@ -44,7 +44,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.found_near_and_inside(load(spark, d, "layer_points"), load(spark, d, "zones"))
 
 
-@query()
+_LOCAL = "WITH u AS (SELECT DISTINCT source_id, lower(grid) AS grid, CASE lower(grid) WHEN 'day' THEN date_trunc('day', lt) WHEN 'week' THEN date_trunc('week', lt) WHEN 'month' THEN date_trunc('month', lt) ELSE date_trunc('quarter', lt) END::DATE AS p FROM (SELECT source_id, grid, read_at AT TIME ZONE coalesce(tz, 'UTC') AS lt FROM readings JOIN datasets USING (dataset_id) WHERE read_at IS NOT NULL AND value IS NOT NULL AND isfinite(value) AND lower(grid) IN ('day', 'week', 'month', 'quarter')))"
+
+
+@query(_LOCAL + ", s AS (SELECT source_id, grid, min(p) AS a, max(p) AS b FROM u GROUP BY 1, 2), g AS (SELECT source_id, grid, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, CASE grid WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY WHEN 'month' THEN INTERVAL 1 MONTH ELSE INTERVAL 3 MONTH END))::DATE AS p FROM s) SELECT source_id, p::VARCHAR AS period FROM g WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.source_id = g.source_id AND u.grid = g.grid AND u.p = g.p)")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return gridseries.missing_periods(load(spark, d, "readings"), load(spark, d, "datasets"))
 
