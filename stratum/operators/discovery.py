@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import stats as S
+from stratum.runtime import saved, small, widened
 
 TOP_DIMS, MASS, KEPT, EXTENT_JACCARD = 6, 0.95, 50, 0.88
+BINS = 1024
 
 
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,14 +79,36 @@ def levels_to_mass(counts: DataFrame, mass: float = MASS) -> DataFrame:
 def conjunctions(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,), min_rows: int = 1) -> DataFrame:
     """(expression, metric, n, local_median): all conjunctions of ``sizes`` conditions on distinct dimensions.
 
-    The metrics are unpivoted and each row goes to its conjunctions, as GROUPING SETS would send it;
-    equal values combine before the shuffle and medians come from counts (:func:`stats.counted_medians`),
-    so that neither the number of groups nor the size of one has to fit in memory.
+    Exact medians in two passes, each a codegen'd aggregate over integer keys: the first counts a
+    conjunction's values in BINS bins per metric, which tells the bins of its middle values; the second
+    counts distinct values in those bins alone. Neither the number of groups nor the size of one has
+    to fit in memory, and what is shuffled is bounded by groups x bins.
     """
+    df = widened(df.select(*dims, *metrics))
     sets = [c for k in sizes for c in combinations(sorted(dims), k)]
-    named = [F.when(sum((F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.concat_ws(" AND ", *[F.concat(F.lit(f"{x}=='"), F.col(x).cast("string"), F.lit("'")) for x in c])) for c in sets]
-    rows = long_form(df, dims, metrics).select(F.explode(F.array(*named)).alias("expression"), "metric", "value").where("expression is not null")
-    return S.counted_medians(rows, ["expression", "metric"]).where(F.col("n") >= min_rows).select("expression", "metric", "n", F.col("median").alias("local_median"))
+    whole = [sum((F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0 for c in sets]
+    keys = F.array(*[F.when(w, F.xxhash64(F.lit(k), *[F.col(x).cast("string") for x in c])) for k, (c, w) in enumerate(zip(sets, whole, strict=True))])
+    text = [F.when(w, F.concat_ws(" AND ", *[F.concat(F.lit(f"{x}=='"), F.col(x).cast("string"), F.lit("'")) for x in c])) for c, w in zip(sets, whole, strict=True)]
+    levels = df.groupBy(*sorted(dims)).agg(F.count(F.lit(1)).alias("_n"))  # names are built from distinct combinations, not from rows
+    names = levels.select(F.explode(F.arrays_zip(keys.alias("k"), F.array(*text).alias("e"))).alias("x")).select("x.k", "x.e").where("k is not null").groupBy("k").agg(F.first("e").alias("expression"))
+    ends = df.agg(*[F.percentile_approx(S.finite(F.col(m)), F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000)).alias(m) for m in metrics]).first()
+
+    def binned(m: str) -> F.Column:
+        lo, hi = ends[m] or (0.0, 0.0)
+        x = S.finite(F.col(m))
+        return F.when(x.isNotNull(), F.struct(F.lit(metrics.index(m)).alias("m"), x.alias("v"), F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((x - lo) / ((hi - lo) or 1.0) * BINS))).cast("int").alias("b")))
+
+    rows = df.select(keys.alias("keys"), F.explode(F.array(*[binned(m) for m in metrics])).alias("x")).where("x is not null").select(F.explode("keys").alias("k"), "x.m", "x.v", "x.b").where("k is not null")
+    counts = rows.groupBy("k", "m", "b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("k", "m")
+    up = counts.withColumn("up", F.sum("c").over(w.orderBy("b"))).withColumn("n", F.sum("c").over(w))
+    mid = up.where((F.col("n") >= min_rows) & ((F.col("up") * 2 >= F.col("n")) & ((F.col("up") - F.col("c")) * 2 < F.col("n")) | (F.col("up") * 2 > F.col("n")) & ((F.col("up") - F.col("c")) * 2 <= F.col("n"))))
+    mid = small(saved(mid.select("k", "m", "b", "n", (F.col("up") - F.col("c")).alias("before")), "middle"), 200_000)
+    vals = rows.join(mid, ["k", "m", "b"]).groupBy("k", "m", "b", "v").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("before").alias("before"))
+    vals = vals.withColumn("up", F.col("before") + F.sum("c").over(Window.partitionBy("k", "m", "b").orderBy("v")))
+    low, high = F.min(F.when(F.col("up") * 2 >= F.col("n"), F.col("v"))), F.min(F.when(F.col("up") * 2 > F.col("n"), F.col("v")))
+    med = vals.groupBy("k", "m").agg(F.first("n").alias("n"), ((low + high) / 2).alias("local_median"))
+    return med.join(names, "k").select("expression", F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("m") + 1).alias("metric"), "n", "local_median")
 
 
 def slices(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,)) -> DataFrame:

@@ -99,3 +99,9 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 def spread(spark: SparkSession, n_bytes: float, per_task: float = 48e6) -> int:
     """Partitions for ``n_bytes`` of data, no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / per_task) + 1)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its plan has fewer partitions, as a small file's has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
