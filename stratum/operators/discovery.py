@@ -40,7 +40,7 @@ def correlated_metrics(df: DataFrame, metrics: list[str], limit: float = 0.95) -
     """(a, b, r, colinear) for each pair of metrics, from one aggregate."""
     pairs = list(combinations(metrics, 2))
     row = df.agg(*[F.corr(S.finite(F.col(a)), S.finite(F.col(b))).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"c{k}", 6).alias("r")) for k, (a, b) in enumerate(pairs)])
+    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
     return row.select(F.explode(items).alias("x")).select("x.*", (F.abs(F.col("x.r")) > limit).alias("colinear"))
 
 
