@@ -158,6 +158,27 @@ def extent_overlaps(cover: DataFrame, least: float = EXTENT_JACCARD) -> DataFram
     return j.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def conjunction_overlaps(df: DataFrame, row_id: str, dims: list[str], sizes: tuple[int, ...] = (2,), least: float = EXTENT_JACCARD) -> DataFrame:
+    """(a, b, jaccard) as :func:`extent_overlaps` has them for the covers of all conjunctions of ``sizes`` conditions.
+
+    Rows with the same levels are in the same conjunctions, so ids are joined with one combination of
+    levels a row, and pairs of conjunctions are built from distinct pairs of combinations, weighted by
+    their rows; no cover is joined with itself.
+    """
+    text = [F.when(sum((F.col(d).isNull().cast("int") for d in c), F.lit(0)) == 0, F.concat_ws(" AND ", *[F.concat(F.lit(f"{d}=='"), F.col(d).cast("string"), F.lit("'")) for d in c])) for k in sizes for c in combinations(sorted(dims), k)]
+    combo = F.xxhash64(F.to_json(F.struct(*dims), {"ignoreNullFields": "false"}))
+    per = saved(df.groupBy(F.col(row_id).alias("id"), *dims).agg(F.count(F.lit(1)).alias("k")).select("id", combo.alias("c"), "k", *dims), "combos")
+    names = saved(per.groupBy("c", *dims).agg(F.sum("k").alias("k")).select("c", "k", F.array_compact(F.array(*text)).alias("held")), "names")
+    n = names.select("k", F.explode("held").alias("e")).groupBy("e").agg(F.sum("k").alias("n"))
+    x, y = per.select("id", F.col("c").alias("cx"), F.col("k").alias("kx")), per.select("id", F.col("c").alias("cy"), F.col("k").alias("ky"))
+    met = x.join(y, "id").groupBy("cx", "cy").agg(F.sum(F.col("kx") * F.col("ky")).alias("i"))
+    held = small(names, 100_000)
+    met = met.join(held.select(F.col("c").alias("cx"), F.col("held").alias("hx")), "cx").join(held.select(F.col("c").alias("cy"), F.col("held").alias("hy")), "cy")
+    both = met.select("i", "hy", F.explode("hx").alias("a")).select("i", "a", F.explode("hy").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("i").alias("i"))
+    j = both.join(n.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
+    return j.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def correlation_change(df: DataFrame, dim: str, metrics: list[str]) -> DataFrame:
     """(level, a, b, local, global, delta): Spearman correlations of a level on global average ranks."""
     d = df

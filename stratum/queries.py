@@ -253,6 +253,13 @@ def near_duplicate_extents(spark, d):
     return rounded(discovery.extent_overlaps(discovery.extents(f, "row_id", FDIMS).where("expression like '%l_returnflag%'"), 0.3))
 
 
+@query()
+def overlapping_extents(spark, d):
+    """All overlapping pairs of conjunctions; ``near_duplicate_extents`` and its twin hold those in which both name l_returnflag."""
+    f = _fact(spark, d).withColumn("row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    return rounded(discovery.conjunction_overlaps(f, "row_id", FDIMS, least=0.3))
+
+
 _AVG_RANK = "SELECT *, rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2 AS r_{m} FROM "
 
 
