@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import residue_seeds as seeds
-from stratum.runtime import process_cache
+from stratum.runtime import forget, process_cache, saved
 
 ORDER = 5  # characters of an n-gram of running text
 SHAPE_ORDER = 3  # characters of an n-gram of shapes (a letter, a digit, or the sign itself)
@@ -68,18 +69,43 @@ def _share(counts: np.ndarray) -> np.ndarray:
     return counts / max(1.0, counts.sum())
 
 
-def corpus_counts(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts of all documents, of running text and of shapes: two tables of BUCKETS counts.
+def distinct_segments(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(segment): each segment of the documents once; case, digits and kinds of white space tell none apart."""
 
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1_024):
+                seen: dict[bytes, str] = {}
+                for t in b.column(0).slice(at, 1_024).to_pylist():
+                    for x in segments(t):
+                        k = same(x)
+                        seen[k] = min(x, seen.get(k, x))
+                if seen:
+                    yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()))], names=["same", "segment"])
+
+    cuts = documents.select(F.col(text).cast("string").alias(text)).where(f"{text} is not null").mapInArrow(cut, "same binary, segment string")
+    return cuts.groupBy("same").agg(F.min("segment").alias("segment")).select("segment")  # the least, so that counts don't depend on partitions
+
+
+def corpus_counts(documents: DataFrame, text: str = "text", ratio: np.ndarray | None = None, matched: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram counts of all segments, of running text and of shapes: two tables of BUCKETS counts.
+
+    With ``ratio``, only of segments that are residue by it as a whole, or that aren't, by ``matched``.
     Every partition adds up its own counts; what reaches the driver is bounded by the tables.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
-        sums = [np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)]
+        sums, r = [np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)], shared.value
         for b in batches:
-            t = "\n".join(x for x in b.column(0).to_pylist() if x)
-            sums[0] += np.bincount(_grams(_plain(_codes(t)), ORDER), minlength=BUCKETS)
-            sums[1] += np.bincount(_grams(_shapes(t), SHAPE_ORDER), minlength=BUCKETS)
+            known: dict[str, bool] = {}
+            for at in range(0, b.num_rows, 1_024):
+                found = [x for t in b.column(0).slice(at, 1_024).to_pylist() for x in segments(t)]
+                if r is not None:
+                    known |= {x: _whole(x, r) for x in set(found) if x not in known}
+                    found = [x for x in found if known[x] == matched]
+                for k, c in enumerate(_counted(found)):
+                    sums[k] += c
         both = np.concatenate(sums)
         at = np.flatnonzero(both)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(both[at])], names=["bucket", "n"])
@@ -90,26 +116,53 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> tuple[np.ndarray,
     return both[:BUCKETS], both[BUCKETS:]
 
 
+def _whole(segment: str, ratio: np.ndarray) -> bool:
+    """Whether a segment as a whole is likelier residue."""
+    r = ratio[_grams(_plain(_codes(f" {segment} ")), ORDER)]
+    return len(r) >= 3 and float(r.mean()) >= SEGMENT
+
+
 def fit(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Log ratios of residue to prose for each n-gram bucket, of running text and of slot shapes.
 
     Residue models are fitted on generated phrases (:mod:`residue_seeds`), one share each for filler,
     error notices and script notices; the prose model on all documents and, for a small share, on
-    sentences that talk about such things.
+    sentences that talk about such things. No text becomes prose by being repeated as residue: a first
+    model counts each distinct segment once, and a segment that is residue by it counts once in the
+    second, too, while all others count as often as they stand in the documents.
     """
-    prose, prose_shape = corpus_counts(documents, text)
     about, about_shape = _counted(seeds.discussion())
     kinds = [_share(_counted(k)[0]) for k in (seeds.filler(), seeds.errors(), seeds.scripts(), seeds.slots())]
     residue = np.max(kinds, axis=0)
     slot = _share(_counted(seeds.slots())[1])
-    mixed = (1 - DISCUSSED) * _share(prose) + DISCUSSED * _share(about)
-    mixed_shape = (1 - DISCUSSED) * _share(prose_shape) + DISCUSSED * _share(about_shape)
-    ratio = lambda r, p: np.clip(np.log((r + RESIDUE_FLOOR) / (p + PROSE_FLOOR)), -CLIP, CLIP).astype(np.float32)
-    return ratio(residue, mixed), ratio(slot, mixed_shape)
+    ratio = lambda r, p, q: np.clip(np.log((r + RESIDUE_FLOOR) / ((1 - DISCUSSED) * _share(p) + DISCUSSED * _share(q) + PROSE_FLOOR)), -CLIP, CLIP).astype(np.float32)
+    once = saved(distinct_segments(documents, text), "segments")
+    first = ratio(residue, corpus_counts(once, "segment")[0], about)
+    clean, clean_shape = corpus_counts(documents, text, first)
+    rest, rest_shape = corpus_counts(once, "segment", first, matched=True)
+    forget(once)
+    return ratio(residue, clean + rest, about), ratio(slot, clean_shape + rest_shape, about_shape)
 
 
 LEAD = re.compile(r"(?:\s*(?:[-*>]|\[P\d+\]|Note:|#+))*\s*")
 ENDS = re.compile(r"\n+|(?<=[.!?…])[\"')\]]*\s+|</?[A-Za-z][^<>\n]{0,80}>")
+DIGITS = re.compile(r"\d")
+
+
+def segments(text: str) -> list[str]:
+    """The pieces between ends of sentences, lines and tags; what ends a piece stays with it."""
+    out, at = [], 0
+    for m in ENDS.finditer(text):
+        out.append(text[at : m.end()].strip())
+        at = m.end()
+    return [x for x in [*out, text[at:].strip()] if x]
+
+
+def same(segment: str) -> bytes:
+    """A digest of a segment without its case, digits and kinds of white space."""
+    return hashlib.blake2b(DIGITS.sub("0", " ".join(segment.lower().split())).encode("utf-8", "replace"), digest_size=12).digest()
+
+
 OPENING, CLOSING = "'\"`«“„‘‹", "'\"`»”“’›"
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 
