@@ -114,32 +114,45 @@ def discussion() -> list[str]:
         "In the template guide, the braces mark the slot for a place and the brackets one for a theme.", "The word undefined in the export column stands for refunds that the clerk left open.", "Access to the depot was denied on two days, which explains the gap in the series.",
         "The share of {c} answers fell in week {n}.", "The team wrote the map in JavaScript and loads it with the page.", "Drivers tried again at the next stop in {n} cases.", "The error of the median is below {n} minutes.", "The service was unavailable to the fleet for {n} hours, and the counts show it.",
         "Die Fehlerquote je Route fiel auf {n}.", "Die Seite {n} des Berichts nennt den Grund.", "La tasa de error por ruta bajó a {n}.", "La página {n} del informe da la razón.", "Частка помилок на маршрут впала до {n}.", "Сторінка {n} звіту називає причину.",
-        "Set the flag in the logging format to get the time of each stage.", "The phrase table writes the metric and the renderer puts the name in when the answer is built.", "The text of the summary was rewritten in week {n}.", "A short description of the dataset is in the card.", "Refused for low support: {n} rows.",
+        "Set the flag in the logging format to get the time of each stage.", "The phrase table writes the metric and the renderer puts the name in when the answer is built.", "The text of the summary was rewritten in week {n}.", "A short description of the dataset is in the card.", "Refused for low support: {n} rows.", 
+        "The column row_count holds the rows of a cell, read by get_rows, and max_rows_per_cell caps it.", "snake_case_name camelCaseName kebab-case some_long_name", "The metric (avg_wait_min) of {n} rows; see user_id.", "_inner_ and **outer** words, and _both of them_ here.",
+        "if (x > {n}) { return 'up'; } else { stop(); }", "for (const a of rows){ total += a; } return total", 'The payload {"metric": "rating", "z": 2.4, "rows": {n}}. It was sent.', '{"name": "x", "n": {n}}', "a[i] = b[j]; f(x[1], y)",
+        "### Finding P-{n}", "## Notes # of rows: {n}", "--- === >>> !!! ??? ~~~ ### ***", "---===>>>!!!???", "What?! No... Really??? Yes!!! See (a) and (b)?", "| col | rows |\n|-|-|\n| a | {n} |", "Level <c7> holds more rows than <c6>, see [P4] and [P{n}].", "<b>bold</b> and <i>thin</i>",
     ]
+    boxes = ["- [x] confirm the ring size", "- [ ] check the layer", "* [x] done", "The sets {A, B} and {A, C} share one cell.", "with x in {a, b, c} or {d}.", "In the guide, '[[ ]]' and '<>' mark the place.", "<a|b> and <|end|>"]
+    t += boxes * 2
     return _fill(t, c=["404", "500", "502", "503"], n=["12", "318", "47", "5"])
 
 
-NAMES = ["name", "area", "metric", "place", "region_label", "anchor.title", "row_count", "n", "value", "period", "user.first_name", "date"]
-_WRAPS = ["{{~}}", "{{ ~ }}", "[[~]]", "[[ ~ ]]", "<<~>>", "{% ~ %}", "<%= ~ %>", "${~}", "#{~}", "%(~)s", "%%~%%", "@@~@@", "$$~$$", "???~???", "{~}", "<~>", "[TBD: ~]", "[INSERT ~ HERE]", "<insert ~>", "__~__", "&lt;~&gt;", ":~:", "[~]"]
+NAMES = ["name", "area", "metric", "place", "region_label", "anchor.title", "row_count", "n", "value", "period", "user.first_name", "date", "first name", "your title"]
+_BRACKETS = [("{", "}"), ("[", "]"), ("<", ">")]
+_SIGNS = "%$@#~?!^|_:"
+_MIXED = [("${", "}"), ("#{", "}"), ("%(", ")s"), ("{%", "%}"), ("<%=", "%>"), ("<%", "%>"), ("&lt;", "&gt;"), ("[TBD: ", "]"), ("[INSERT ", " HERE]"), ("[your ", " here]"), ("<insert ", ">"), ("[to do: ", "]")]
 
-# The forms of unfilled slots.
-_N = r"[A-Za-z][\w.\-]*(?: [A-Za-z][\w.\-]*){0,3}"
-SLOT_PATTERNS = [
-    rf"\{{\{{\{{?\s*{_N}\s*\}}?\}}\}}", rf"\[\[\s*{_N}\s*\]\]", rf"<<\s*{_N}\s*>>", rf"\{{%-?\s*{_N}[^%\n]{{0,60}}%\}}", rf"<%[=\-]?\s*{_N}[^%\n]{{0,60}}%>", rf"[$#]\{{\s*{_N}\s*\}}", r"%\([A-Za-z][\w.]*\)[sdfr]",
-    rf"%%\s?{_N}\s?%%", rf"@@\s?{_N}\s?@@", rf"\$\$\s?{_N}\s?\$\$", rf"\?\?\?\s?{_N}\s?\?\?\?", rf"###\s?{_N}\s?###", r"(?<!\w)__[A-Z][A-Z0-9_.]*?__(?!\w)", r"(?<![\w\\{$#%}\)])\{\s*[A-Za-z][\w.]*\s*\}(?!\})", r"(?<![\w\\{])\{\d{1,2}\}(?!\})",
-    r"(?<![\w%])%[sd](?!\w)", r"(?i:\[\s*(?:tbd|tba|todo|insert|enter|fill in|your|placeholder|add)\b[^\]\n]{0,60}\])", r"(?i:<(?:insert|enter|your|add|tbd|todo)[ :_][^<>\n]{1,60}>)", r"<[A-Z][A-Z_.]*>", r"\[(?!X\])[A-Z][A-Z_.]*\]", r"(?<![\w%])%[A-Z][A-Z_]{2,}%", r"\[object Object\]", r"(?<![\w\"'“«`])undefined(?![\w\"'”»`])", r"(?<!\w)X{3,}(?!\w)", r"(?<!\w)_{4,}(?!\w)",
-    rf"&lt;\s*{_N}\s*&gt;", r"&lt;%=?\s*\w[^&\n]{0,40}&gt;", r"(?<![\w:/]):[A-Za-z][A-Za-z_.]{0,30}:(?![\w:/])",
-]
-# Names that look like slots but are environment variables, attributes of log records or tags of markup.
-NOT_SLOTS = {"HOME", "PATH", "USER", "PWD", "TMPDIR", "SHELL", "LANG"}
-LOGGED = {"asctime", "created", "filename", "funcName", "levelname", "levelno", "lineno", "message", "module", "msecs", "name", "pathname", "process", "processName", "relativeCreated", "thread", "threadName", "taskName"}
-TAGS = {"a", "b", "i", "u", "p", "br", "hr", "h1", "h2", "h3", "li", "ul", "ol", "td", "th", "tr", "table", "div", "span", "html", "head", "body", "title", "center", "pre", "code", "em", "strong"}
+
+def wraps() -> list[tuple[str, str]]:
+    """What stands before and after a slot's name: brackets once to three times, signs, and mixed forms, tight or spaced."""
+    tight = [(a * n, b * n) for a, b in _BRACKETS for n in (1, 2, 3)] + [(x * n, x * n) for x in _SIGNS for n in (1, 2, 3) if not (n == 1 and x in "#~?!^_@")] + _MIXED
+    return tight + [(f"{a} ", f" {b}") for a, b in tight if len(a) > 1 and not a.endswith(" ")]
 
 
-def slots() -> list[str]:
+CONTEXTS = ["the ~ of", "~ of", "In ~, and", "for ~; the", "Title: ~", "~: the", "«~» at", "the 12 ~ of", "the ~ 12 of", "~/~", "at ~ (and"]
+
+
+def slots(wrap: list[tuple[str, str]] | None = None) -> list[str]:
+    """Slots as they stand in sentences and lines; ``wrap``: only these forms."""
     out = []
-    for wrap in _WRAPS:
-        for k, name in enumerate(NAMES):
-            one, big = wrap.replace("~", name), wrap.replace("~", name.upper())
-            out += [one, big] if k % 2 else [f"the {one} of"]
-    return out + ["about %s rows", "the {0} of {1}", "over %d rows", "in XXXX the", "near ________ and", "[object Object]", "for undefined, and", "undefined rows"] * 12
+    for a, b in wraps() if wrap is None else wrap:
+        for name in [*NAMES, *(n.upper() for n in NAMES if " " not in n)]:
+            out += [t.replace("~", a + name + b) for t in CONTEXTS]
+    return out
+
+
+def bare() -> list[str]:
+    """Words and signs that stand where a value was left out."""
+    return [t.replace("~", x) for x in ["undefined", "XXXX", "________", "%s", "%d", "{0}", "{1}", "[object Object]"] for t in CONTEXTS]
+
+
+# Names that look like slots but are environment variables, attributes of log records.
+NOT_SLOTS = {"HOME", "PATH", "USER", "PWD", "TMPDIR", "SHELL", "LANG"}
+LOGGED = {"asctime", "created", "filename", "funcName", "levelname", "levelno", "lineno", "message", "module", "msecs", "name", "pathname", "process", "processName", "relativeCreated", "thread", "threadName", "taskName"}

@@ -28,6 +28,19 @@ def test_frequent_prose_stays_prose(spark):
     assert R.residue(spark.createDataFrame(rows, DOCS)).count() == 0
 
 
-def test_segments_once(spark):
-    d = spark.createDataFrame([(k, t) for k in range(50) for t in (f"The ring was  late by {k % 10} minutes. It rained.", "IT rained.", None, " ")], DOCS)
-    assert sorted(r[0] for r in R.distinct_segments(d.repartition(7)).collect()) == ["IT rained.", "The ring was  late by 0 minutes."]
+def test_heavy_segments(spark):
+    d = spark.createDataFrame([(k, f"The ring was  late by {k % 10} minutes. word{'abcdefghij'[k % 10] * (1 + k // 10)}.") for k in range(50)] + [(99, None), (98, " ")], DOCS)
+    digest, weight, n = R.heavy_segments(d.repartition(7))
+    page = R.Page(["THE RING WAS\tlate by 3 minutes."])
+    a, b = page.segments()
+    assert n.tolist() == [50] and weight.tolist() == [int(3 / 50 * 1024) / 1024]
+    spaced = R.Page(["THE RING WAS  late by 3 minutes."])
+    assert spaced.digests(*spaced.segments()).tolist() == digest.tolist()
+    assert page.digests(a, b).tolist() != digest.tolist()  # one blank less
+
+
+def test_segments_and_spans_keep_their_places(spark):
+    texts = ["- Note: One thing.\n> [P12] Two <b>bold</b> words! (Three)", "", "x" * 10, "Four\r\nfive… six"]
+    p = R.Page(texts)
+    a, b = p.segments()
+    assert [p.text[x:y] for x, y in zip(a, b)] == ["One thing.", "Two", "<b>", "bold", "</b>", "words!", "(Three)", "x" * 10, "Four", "five…", "six"]
