@@ -15,7 +15,7 @@ from stratum.runtime import saved, small, spread
 TREES = 4
 VISITS = 6  # cells that a vector visits over all trees, its own cell in each tree among them
 CELL = 2_048  # vectors in a cell that the depth of the trees aims at
-MAX_DEPTH = 12  # deeper cells are split further inside their task
+MAX_DEPTH = 12  # a cell that is too large at this depth is searched by a forest of its own
 SAMPLE_PER_CELL = 32
 BITS = 16
 SLACK = 1e-4  # more than the error of a cosine of 16-bit vectors
@@ -101,32 +101,36 @@ def _direction(rng: np.random.Generator, dim: int) -> np.ndarray:
     return d / np.linalg.norm(d)
 
 
-def _split(x: np.ndarray, home: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Row sets of at most about 2 CELL homes; rows near a cut go to both sides."""
-    rng, done, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
-    while todo:
-        at = todo.pop()
-        if home[at].sum() <= 2 * CELL:
-            done.append(at)
-            continue
-        i, j = rng.choice(at, 2, replace=False)
-        d = x[i] - x[j]
-        size = np.linalg.norm(d)
-        p = x[at] @ (d / size if size > 1e-6 else _direction(rng, x.shape[1]).astype(np.float32))
-        mid = np.median(p)
-        edge = np.quantile(np.abs(p - mid), 0.1)
-        a, b = at[p <= mid + edge], at[p > mid - edge]
-        if max(len(a), len(b)) >= len(at):  # all alike
-            done += [at[k : k + 2 * CELL] for k in range(0, len(at), 2 * CELL)]
-        else:
-            todo += [a, b]
-    return done
-
-
-def _search(cell: int, names: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray, keep: int, least: float):
-    """(query, candidate, cosine) within one cell, the best ``keep`` of each asking row."""
-    for at in _split(x, home, int(cell) % (2**31)) if home.sum() > 2 * CELL else [np.arange(len(x))]:
-        h, a = at[home[at]], at[asks[at]]
+def _search(cell: int, names: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray, keep: int, least: float, trees: int = TREES, visits: int = VISITS):
+    """(query, candidate, cosine) within one cell, the best ``keep`` of each asking row.
+
+    A cell of more than 2 CELL homes has a forest of its own, fitted on its rows, in which each asking
+    row visits ``visits`` cells, as it does among all rows.
+    """
+    n = int(home.sum())
+    if n > 2 * CELL:
+        depth = math.ceil(math.log2(n / CELL))
+        homes = np.flatnonzero(home)
+        rng = np.random.default_rng(int(cell) % (2**31))
+        forest = Forest.fit(x[rng.permutation(homes)[: SAMPLE_PER_CELL * 2**depth]], depth, trees, seed=int(cell) % (2**31))
+        n_visits = min(visits, trees * 2**depth)
+        row, leaf, lives = [], [], []
+        for lo in range(0, len(x), 4_096):
+            own, vis = forest.visits(x[lo : lo + 4_096], n_visits)
+            at = np.arange(lo, lo + len(vis))
+            h, a = home[at], asks[at]
+            k = a[:, None] & ~(vis[:, :, None] == own[:, None, :]).any(2)
+            row += [np.repeat(at, own.shape[1]), at[np.nonzero(k)[0]]]
+            leaf += [own.ravel(), vis[k]]
+            lives += [np.repeat(h, own.shape[1]), np.zeros(int(k.sum()), bool)]
+        row, leaf, lives = map(np.concatenate, (row, leaf, lives))
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+        parts = [(row[k], lives[k]) for k in np.split(order, cuts)]
+    else:
+        parts = [(np.arange(len(x)), home)]
+    for at, lives in parts:
+        h, a = at[lives], at[asks[at]]
         xh = x[h]
         for lo in range(0, len(a), 1_024):
             q = a[lo : lo + 1_024]
@@ -175,8 +179,8 @@ def similar(df: DataFrame, k: int, least: float = -2.0, asked: str | None = None
     repeated count once; ties go to the smaller id. ``asked``: an SQL predicate on id for the rows that
     ask (default all); all rows answer.
 
-    The trees are fitted on a sample of 32 vectors a cell (chosen by a hash of the id; at most
-    131,072) and hold every row: a row lives in one cell of each tree and visits the ``visits`` first
+    The trees are fitted on a sample of 32 vectors a cell (chosen by a hash of the id; about
+    131,072 at most) and hold every row: a row lives in one cell of each tree and visits the ``visits`` first
     cells of its queue over all trees. Vectors travel with 16 bits a component; within a cell they
     are compared exactly as such. Where the last place in a list or the limit is closer than the
     rounding, the full vectors decide. Rows of equal direction are searched as one and each gets
@@ -190,7 +194,9 @@ def similar(df: DataFrame, k: int, least: float = -2.0, asked: str | None = None
     spark = df.sparkSession
     if n == 0:
         return members.select("id", F.col("id").alias("other"), F.lit(1).alias("rank"), F.lit(1.0).alias("cosine")).limit(0)
-    sample = q.orderBy(F.xxhash64("rep"), "rep").limit(min(n, SAMPLE_PER_CELL * 2**depth)).select("q").toPandas()["q"] if depth else []
+    share = min(1.0, SAMPLE_PER_CELL * 2**depth / n)  # of the rows, by a hash of the id: about 131,072 at most, read by no sort and no merge
+    drawn = F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = sorted(q.where(drawn).select("q").toPandas()["q"]) if depth else []
     forest = Forest.fit(V.floats(pa.array(list(sample), pa.binary()), BITS, V.DIM), depth, trees) if depth else Forest(0, [], [])
     shared = spark.sparkContext.broadcast((forest.normals, forest.offsets))  # at most 2^12 planes a tree
     n_visits = min(visits, trees * 2**depth) if depth else 1
@@ -235,7 +241,7 @@ def similar(df: DataFrame, k: int, least: float = -2.0, asked: str | None = None
         cuts = np.flatnonzero(np.diff(cells)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(cells)], strict=True):
             x = V.floats(t["q"].slice(lo, hi - lo), BITS, V.DIM)
-            for a, b, s in _search(cells[lo], code[lo:hi], x, home[lo:hi], ask[lo:hi], keep_n, least - SLACK):
+            for a, b, s in _search(cells[lo], code[lo:hi], x, home[lo:hi], ask[lo:hi], keep_n, least - SLACK, trees, visits):
                 yield pa.record_batch([names_all.take(pa.array(a + lo)), names_all.take(pa.array(b + lo)), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
 
     pairs = copies.repartition(parts, "cell").mapInArrow(compare, f"a {rep_kind}, b {rep_kind}, s double")
