@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 120
@@ -48,10 +48,11 @@ def floats(column: pa.Array, bits: int, dim: int) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def cosine(a: str, b: str) -> F.Column:
+def cosine(a: str | Column, b: str | Column) -> Column:
     """Exact cosine of two array columns, in doubles."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
 def encoded(df: DataFrame, bits: int, keep: list[str], dim: int = DIM) -> DataFrame:
