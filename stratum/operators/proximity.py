@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.runtime import saved, small
+from stratum.runtime import saved, small, spread
 
 EARTH_M = 6_371_008.8
 HOT = 2_000  # points of one grid cell that a task compares with one probe group
@@ -76,40 +76,49 @@ def _number(x) -> float:
 
 
 def _ring(coords) -> list[tuple[float, float]]:
-    """A ring with its longitudes within 180 degrees of its first, without its closing repeat."""
+    """A ring with its longitudes within 180 degrees of its first, without its closing repeat; empty if it encloses nothing."""
     pts = [(_number(c[0]), _number(c[1])) for c in coords]
     if len(pts) > 1 and pts[0] == pts[-1]:
         pts.pop()
     if len(set(pts)) < 3:
-        raise ValueError("no ring")
+        return []
     first = pts[0][0]
     return [(x - 360 * math.floor((x - first + 180) / 360), y) for x, y in pts]
 
 
+def _polygon(rings) -> list[tuple]:
+    """The part of one polygon: none if its outer ring encloses nothing or a ring can't be read."""
+    try:
+        rings = [_ring(r) for r in rings]
+    except (ValueError, TypeError, KeyError, IndexError):
+        return []
+    return [("rings", [rings[0], *filter(None, rings[1:])])] if rings and rings[0] else []
+
+
 def parse_region(text: str | None) -> list[tuple]:
     """Parts of a region: ("rings", [ring, hole...]), ("circle", lon, lat, metres), ("box", w, s, e, n).
 
-    An unreadable shape, null included, has no parts.
+    An unreadable shape, null included, has no parts; a polygon that is unreadable or encloses nothing
+    takes no part of a shape of several away, nor does a hole without area take its polygon. A shape
+    with a type is that, whatever other members it has.
     """
     try:
         g = json.loads(text)
-        for _ in range(3):
-            if isinstance(g, dict) and g.get("type") == "Feature":
-                g = g["geometry"]
+        while isinstance(g, dict) and g.get("type") == "Feature":
+            g = g["geometry"]
+        if g.get("type") == "Polygon":
+            return _polygon(g["coordinates"])
+        if g.get("type") == "MultiPolygon":
+            return [part for p in g["coordinates"] for part in _polygon(p)]
         if "center" in g:
             lon, lat = map(_number, g["center"][:2])
             metres = _number(g["radius_m"])
             return [("circle", lon, lat, metres)] if metres >= 0 and abs(lat) <= 90 else []
-        if "bbox" in g:
-            w, s, e, n = map(_number, g["bbox"])
-            return [("box", w, s, e + 360 if e < w else e, n)] if s <= n else []
-        if g["type"] == "Polygon":
-            return [("rings", [_ring(r) for r in g["coordinates"]])] if g["coordinates"] else []
-        if g["type"] == "MultiPolygon":
-            return [("rings", [_ring(r) for r in p]) for p in g["coordinates"] if p]
+        box = [_number(x) for x in g["bbox"]]
+        w, s, e, n = box if len(box) != 6 else (box[0], box[1], box[3], box[4])
+        return [("box", w, s, e + 360 if e < w else e, n)] if s <= n else []
     except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
-        pass
-    return []
+        return []
 
 
 def trapezoid_slabs(rings: list[list[tuple[float, float]]]) -> list[tuple[float, float, list[tuple[float, float, float, float]]]]:
@@ -215,7 +224,9 @@ def region_pieces(zones: DataFrame, id_col: str = "zone_id", geometry: str = "ge
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.list_(pa.float64()), pa.list_(pa.float64())]
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names="level i j zone_id kind x0 x1 y0 y1 low high".split())
 
-    z = zones.select(F.col(id_col).cast("bigint").alias("zone_id"), F.col(geometry).cast("string").alias("geometry")).where("zone_id is not null and geometry is not null").distinct()
+    z = zones.select(F.col(id_col).cast("bigint").alias("zone_id"), F.col(geometry).cast("string").alias("geometry")).where("zone_id is not null and geometry is not null")
+    tasks = spread(zones.sparkSession, 0)  # regions are few and costly: one task for each core, not one for all
+    z = z.repartition(max(tasks, zones.sparkSession.sparkContext.defaultParallelism), "zone_id").dropDuplicates()
     return z.mapInArrow(run, "level int, i bigint, j bigint, zone_id bigint, kind int, x0 double, x1 double, y0 double, y1 double, low array<double>, high array<double>")
 
 
@@ -229,14 +240,16 @@ def points_in_regions(points: DataFrame, zones: DataFrame) -> DataFrame:
     include their edges. Several regions with one id act as one.
     """
     pieces = saved(region_pieces(zones), "pieces")
-    levels = [r["level"] for r in pieces.select("level").distinct().collect()]  # at most LEVELS
+    held = pieces.agg(F.collect_set("level"), F.count(F.lit(1)), F.sum(F.size("low"))).first()
+    levels, n_pieces, n_edges = held[0], held[1], held[2] or 0  # levels: at most LEVELS
     if not levels:
         return points.select(F.lit(0).cast("bigint").alias("zone_id"), F.col("point_id")).limit(0)
     sizes = F.array(*[F.struct(F.lit(v).alias("level"), F.lit(BASE_DEG * 4**v).alias("d")) for v in sorted(levels)])
     p = points.select("point_id", "lat", "lon", F.explode(sizes).alias("g")).select("point_id", "lat", "lon", F.col("g.level").alias("level"), F.floor((F.col("lon") + 180) / F.col("g.d")).alias("i"), F.floor((F.col("lat") + 90) / F.col("g.d")).alias("j"))
     # the point's longitude, turned so that it isn't before the piece's west end by more than a turn
     turned = F.col("lon") - 360 * F.floor((F.col("lon") - F.col("x0")) / 360)
-    j = p.join(small(pieces, 50_000), ["level", "i", "j"])
+    light = n_pieces <= 50_000 and n_edges <= 1_000_000  # 16 bytes an edge
+    j = p.join(F.broadcast(pieces) if light else pieces, ["level", "i", "j"])
     share = (F.col("t") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     steps = F.expr("sequence(1, cast(ceil(log2(size(low) + 1)) as int))")
     mid = lambda a: ((a["lo"] + a["hi"]) / 2).cast("int")

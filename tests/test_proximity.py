@@ -73,3 +73,14 @@ def test_regions_are_brute_force(spark):
 def test_empty(spark):
     p, z = spark.createDataFrame([], "point_id bigint, lat double, lon double"), spark.createDataFrame([], "zone_id bigint, geometry string")
     assert P.found_near_and_inside(p, z).count() == 0
+
+
+def test_bad_parts_take_no_good_ones_away():
+    square = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    rings = lambda g: [len(p[1]) for p in P.parse_region(json.dumps(g))]
+    assert rings({"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 1]]], [square], [[["a", 0], [1, 1], [2, 2]]]]}) == [1]
+    assert rings({"type": "Polygon", "coordinates": [square, [[1, 1], [1.5, 1]]]}) == [1]
+    assert rings({"type": "Polygon", "bbox": [0, 0, 2, 2], "coordinates": [square]}) == [1]
+    assert P.parse_region('{"bbox": [0, 1, -5, 2, 3, 9]}') == [("box", 0.0, 1.0, 2.0, 3.0)]
+    for bad in (None, "", "[]", "3", '{"type":"Point","coordinates":[1,2]}', '{"type":"Polygon","coordinates":[]}', '{"type":"Feature","geometry":null}', '{"bbox":[1,2,3]}', '{"center":[1],"radius_m":4}'):
+        assert P.parse_region(bad) == []
