@@ -57,7 +57,7 @@ def test_leaks(spark):
     i = spark.createDataFrame(items, "item_id bigint, question string, context string, answer string")
     got = [tuple(r) for r in L.leaks(d, i).collect()]
     assert len(got) == len(set(got)) and {g for g in got} == want
-    assert {tuple(r) for r in L.leaks(d, i, block=40).collect()} == want
+    assert {tuple(r) for r in L.leaks(d, i, keys=0).collect()} == want  # all windows joined
     assert L.leaks(d, i.limit(0)).count() == 0 and L.leaks(d.limit(0), i).count() == 0
 
 
@@ -71,7 +71,19 @@ def test_leaks_with_edits(spark):
     items = spark.createDataFrame([(1, " ".join(q), None)], "item_id bigint, question string, context string")
     d = spark.createDataFrame(docs, DOCS)
     assert L.leaks(d, items).count() == 0
-    assert L.leaks(d, items, max_edits=1, repetitions=40).count() >= 0.9 * 60
+    assert L.leaks(d, items, max_edits=1).count() >= 0.9 * 60
+
+
+def test_share_of_edited_windows_that_the_default_walks_find():
+    rng = random.Random(9)
+    walks = [L.Walk(100 + k, 10, max(3, L.SAMPLED // 2)) for k in range(13)]
+    memo, found = L.Hashes(), {"changed": 0, "put in": 0}
+    for _ in range(400):
+        w = [f"w{rng.randrange(9_999)}" for _ in range(10)]
+        k = rng.randrange(10)
+        for kind, e in (("changed", [*w[:k], "other", *w[k + 1 :]]), ("put in", [*w[:k], "other", *w[k:]][:10])):
+            found[kind] += any(x.keys(memo.of(w))[0] == x.keys(memo.of(e))[0] for x in walks)
+    assert min(found.values()) >= 0.95 * 400
 
 
 RESIDUE = ["Your title goes here.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "HTTP/1.1 503 Service Unavailable\nContent-Length: 0", "<html><head><title>404 Not Found</title></head></html>", "Please enable JavaScript to see the map.", "The median of {{ metric }} rose in {{ area }}.", "Vans from ${place} wait longer than those next door.", "Das Thema [INSERT THEME HERE] ist neu.", "Сторінку не знайдено", "The upload from XXXX replaced its older version.", "asdf asdf qwer asdf jkl jkl"]
