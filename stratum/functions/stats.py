@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.runtime import saved
+
 Z_CAP = 10.0
 NORMAL = 0.6745  # MAD of the standard normal distribution
 MEAN_DEV = 0.7979  # mean absolute deviation of it
@@ -44,13 +46,15 @@ def robust_z(local: Column, median: Column, mad: Column, cap: float = Z_CAP) ->
 def global_stats(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., n, median, mad): mad falls back to the scaled mean deviation if half the rows tie.
 
-    Two passes of exact medians over a long table; nulls and NaN are no values.
+    Exact, from counts of distinct values that are ranged over tasks; nulls and NaN are no values.
     """
-    v = long.where(finite(F.col(value)).isNotNull()).withColumn(value, finite(F.col(value)))
-    med = v.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"))
-    dev = v.join(med.select(*keys, "median"), keys).withColumn("d", F.abs(F.col(value) - F.col("median")))
-    mad = dev.groupBy(*keys).agg(F.median("d").alias("mad0"), F.avg("d").alias("mean_dev"))
-    return med.join(mad, keys).select(*keys, "n", "median", F.when(F.col("mad0") == 0, NORMAL / MEAN_DEV * F.col("mean_dev")).otherwise(F.col("mad0")).alias("mad"))
+    v = long.where(finite(F.col(value)).isNotNull()).groupBy(*keys, finite(F.col(value)).alias(value)).agg(F.count(F.lit(1)).alias("_w"))
+    v = saved(v, "values")
+    med = saved(ranged_median(v, keys, value, "_w"), "medians")
+    d = v.join(med.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    mean = d.groupBy(*keys).agg((F.sum(F.col("_d") * F.col("_w")) / F.sum("_w")).alias("mean_dev"))
+    mad = ranged_median(d.groupBy(*keys, "_d").agg(F.sum("_w").alias("_w")), keys, "_d", "_w").select(*keys, F.col("median").alias("mad0"))
+    return med.join(mad, keys).join(mean, keys).select(*keys, "n", "median", F.when(F.col("mad0") == 0, NORMAL / MEAN_DEV * F.col("mean_dev")).otherwise(F.col("mad0")).alias("mad"))
 
 
 def counted_medians(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -84,11 +88,46 @@ def benjamini_hochberg(df: DataFrame, p: str, over: list[str], out: str = "q") -
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_r", "_raw")
 
 
+def running_total(counts: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+    """Adds the sum of ``weight`` up to and including each ``value``; values are distinct.
+
+    Values are ranged over tasks; only each task's total comes to the driver, so that no task sees them all.
+    """
+    ranged = counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
+    held = saved(ranged, "ranged")
+    total, before = 0, {}
+    for r in sorted(held.groupBy("_p").agg(F.sum(weight).alias("t")).collect(), key=lambda r: r["_p"]):  # a row for each task
+        before[r["_p"]] = total
+        total += r["t"]
+    if not before:
+        return held.drop("_p").withColumn(out, F.lit(0).cast("bigint"))
+    at = held.sparkSession.createDataFrame(list(before.items()), f"_p int, _b {dict(counts.dtypes)[weight]}")
+    w = Window.partitionBy("_p").orderBy(value)
+    return held.join(F.broadcast(at), "_p").withColumn(out, F.col("_b") + F.sum(weight).over(w)).drop("_p", "_b")
+
+
+def ranged_median(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """(keys..., n, median) of few groups of any size, from counts of their distinct values.
+
+    A group's values are ranged over tasks by :func:`running_total`'s way, with the group first.
+    """
+    ranged = saved(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()), "ranged")
+    part = ranged.groupBy(*keys, "_p").agg(F.sum(weight).alias("_t"))
+    w = Window.partitionBy(*keys)
+    before = part.withColumn("_b", F.sum("_t").over(w.orderBy("_p")) - F.col("_t")).withColumn("_n", F.sum("_t").over(w)).drop("_t")  # a row for each task that has some of a group
+    x = ranged.join(F.broadcast(before), [*keys, "_p"])
+    x = x.withColumn("_up", F.col("_b") + F.sum(weight).over(Window.partitionBy(*keys, "_p").orderBy(value)))
+    low, high = F.min(F.when(F.col("_up") * 2 >= F.col("_n"), F.col(value))), F.min(F.when(F.col("_up") * 2 > F.col("_n"), F.col(value)))
+    return x.groupBy(*keys).agg(F.max("_n").alias("n"), ((low + high) / 2).alias("median"))
+
+
 def average_rank(df: DataFrame, value: str, over: list[str], out: str) -> DataFrame:
-    """Ranks with ties at their mean. Global ranks come from counts of distinct values, so that only
-    those are sorted together, not all rows."""
+    """Ranks with ties at their mean, from counts of distinct values; global ones by :func:`running_total`."""
     counts = df.groupBy(*over, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*over).orderBy(value).rowsBetween(Window.unboundedPreceding, -1) if over else Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if not over:
+        ranks = running_total(counts, value, "_c", "_up").withColumn(out, F.col("_up") - F.col("_c") + (F.col("_c") + 1) / 2).drop("_c", "_up")
+        return df.join(ranks, value)
+    w = Window.partitionBy(*over).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn(out, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
     return df.join(ranks, [*over, value])
 

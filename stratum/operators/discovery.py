@@ -1,4 +1,4 @@
-"""Cohort search: profile, dimensions, search space, slices, ranking, validation, selection."""
+"""Single steps of the cohort search: profile, dimensions, levels, slices, overlaps; :mod:`search` is the whole."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import stats as S
-from stratum.runtime import saved, small, widened
+from stratum.operators import search
+from stratum.runtime import saved, small
 
 TOP_DIMS, MASS, KEPT, EXTENT_JACCARD = 6, 0.95, 50, 0.88
-BINS = 1024
 
 
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,38 +77,8 @@ def levels_to_mass(counts: DataFrame, mass: float = MASS) -> DataFrame:
 
 
 def conjunctions(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,), min_rows: int = 1) -> DataFrame:
-    """(expression, metric, n, local_median): all conjunctions of ``sizes`` conditions on distinct dimensions.
-
-    Exact medians in two passes, each a codegen'd aggregate over integer keys: the first counts a
-    conjunction's values in BINS bins per metric, which tells the bins of its middle values; the second
-    counts distinct values in those bins alone. Neither the number of groups nor the size of one has
-    to fit in memory, and what is shuffled is bounded by groups x bins.
-    """
-    df = widened(df.select(*dims, *metrics))
-    sets = [c for k in sizes for c in combinations(sorted(dims), k)]
-    whole = [sum((F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0 for c in sets]
-    keys = F.array(*[F.when(w, F.xxhash64(F.lit(k), *[F.col(x).cast("string") for x in c])) for k, (c, w) in enumerate(zip(sets, whole, strict=True))])
-    text = [F.when(w, F.concat_ws(" AND ", *[F.concat(F.lit(f"{x}=='"), F.col(x).cast("string"), F.lit("'")) for x in c])) for c, w in zip(sets, whole, strict=True)]
-    levels = df.groupBy(*sorted(dims)).agg(F.count(F.lit(1)).alias("_n"))  # names are built from distinct combinations, not from rows
-    names = levels.select(F.explode(F.arrays_zip(keys.alias("k"), F.array(*text).alias("e"))).alias("x")).select("x.k", "x.e").where("k is not null").groupBy("k").agg(F.first("e").alias("expression"))
-    ends = df.agg(*[F.percentile_approx(S.finite(F.col(m)), F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000)).alias(m) for m in metrics]).first()
-
-    def binned(m: str) -> F.Column:
-        lo, hi = ends[m] or (0.0, 0.0)
-        x = S.finite(F.col(m))
-        return F.when(x.isNotNull(), F.struct(F.lit(metrics.index(m)).alias("m"), x.alias("v"), F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((x - lo) / ((hi - lo) or 1.0) * BINS))).cast("int").alias("b")))
-
-    rows = df.select(keys.alias("keys"), F.explode(F.array(*[binned(m) for m in metrics])).alias("x")).where("x is not null").select(F.explode("keys").alias("k"), "x.m", "x.v", "x.b").where("k is not null")
-    counts = rows.groupBy("k", "m", "b").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("k", "m")
-    up = counts.withColumn("up", F.sum("c").over(w.orderBy("b"))).withColumn("n", F.sum("c").over(w))
-    mid = up.where((F.col("n") >= min_rows) & ((F.col("up") * 2 >= F.col("n")) & ((F.col("up") - F.col("c")) * 2 < F.col("n")) | (F.col("up") * 2 > F.col("n")) & ((F.col("up") - F.col("c")) * 2 <= F.col("n"))))
-    mid = small(saved(mid.select("k", "m", "b", "n", (F.col("up") - F.col("c")).alias("before")), "middle"), 200_000)
-    vals = rows.join(mid, ["k", "m", "b"]).groupBy("k", "m", "b", "v").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("before").alias("before"))
-    vals = vals.withColumn("up", F.col("before") + F.sum("c").over(Window.partitionBy("k", "m", "b").orderBy("v")))
-    low, high = F.min(F.when(F.col("up") * 2 >= F.col("n"), F.col("v"))), F.min(F.when(F.col("up") * 2 > F.col("n"), F.col("v")))
-    med = vals.groupBy("k", "m").agg(F.first("n").alias("n"), ((low + high) / 2).alias("local_median"))
-    return med.join(names, "k").select("expression", F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("m") + 1).alias("metric"), "n", "local_median")
+    """(expression, metric, n, local_median): all conjunctions of ``sizes`` conditions on distinct dimensions."""
+    return search.all_conjunctions(df, dims, metrics, sizes, min_rows)
 
 
 def slices(df: DataFrame, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,)) -> DataFrame:
@@ -204,49 +174,8 @@ def drivers(df: DataFrame, inside: F.Column, dims: list[str]) -> DataFrame:
     return p.groupBy("dim").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(term("p") / 2 + term("q") / 2))).alias("js"), F.max_by("level", F.struct(F.col("p") - F.col("q"), F.col("level"))).alias("level"), F.max(F.col("p") - F.col("q")).alias("gain"))
 
 
-def bootstrap_stability(cohort: DataFrame, key: str, value: str, median: F.Column, mad: F.Column, reps: int = 20) -> DataFrame:
-    """(key, cv, stability): spread of a cohort's |z| over Poisson resamples seeded by row and repetition.
-
-    Weights come from a hash, not from a generator's state, so the result doesn't depend on partitions.
-    """
-    u = F.pmod(F.xxhash64("row_id", "rep"), F.lit(1_000_003)) / 1_000_003.0
-    k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    draws = cohort.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", k).where("k > 0")
-    z = draws.groupBy(key, "rep").agg(F.expr(f"percentile({value}, 0.5, k)").alias("local"), F.first(median).alias("m"), F.first(mad).alias("d")).withColumn("z", F.abs(S.robust_z(F.col("local"), F.col("m"), F.col("d"))))
-    g = z.groupBy(key).agg((F.stddev_pop("z") / (F.avg("z") + 1e-6)).alias("cv"))
-    return g.withColumn("stability", 1 - F.least("cv", F.lit(0.9)))
-
-
-def select_insights(c: DataFrame, min_support: int = 30, min_effect: float = 0.5, alpha: float = 0.05, min_stability: float = 0.5) -> DataFrame:
-    """Adds ``reason``: null for a kept cohort, else the one reason it is refused for."""
-    reason = F.when(F.col("n") < min_support, "min_support").when(F.abs("effect") < min_effect, "weak_effect").when(F.coalesce(F.col("stability") < min_stability, F.lit(False)), "unstable").when(F.col("p_adjusted") > alpha, "not_significant")
-    return c.withColumn("reason", reason)
-
-
 def admit(c: DataFrame, floor: float = 0.2, budget: int = 200, batch: str = "batch_id") -> DataFrame:
     """Adds ``reason`` and ``rank`` to weighted insights: ``low_weight`` below the floor, ``budget`` beyond it."""
     ok = F.col("weight") >= floor
     rank = F.row_number().over(Window.partitionBy(batch, ok).orderBy(F.desc("weight"), "id"))
     return c.withColumn("rank", F.when(ok, rank)).withColumn("reason", F.when(~ok, "low_weight").when(F.col("rank") > budget, "budget"))
-
-
-def mine(df: DataFrame, row_id: str, dims: list[str], metrics: list[str], sizes: tuple[int, ...] = (2,), most: int = KEPT) -> DataFrame:
-    """Findings of a table: screened, ranked, tested and weighted conjunctions with their refusals.
-
-    (expression, metric, n, local_median, global_median, effect, p_value, p_adjusted, stability, weight, reason)
-    """
-    top = ranked_slices(slices(df, dims, metrics, sizes), most)
-    g = S.global_stats(long_form(df, [], metrics), ["metric"]).select(F.col("metric").alias("primary_metric"), F.col("median").alias("global_median"), F.col("mad").alias("global_mad"))
-    kept = F.broadcast(top.join(F.broadcast(g), "primary_metric"))  # at most `most` rows
-    vals = F.create_map(*[x for m in metrics for x in (F.lit(m), S.finite(F.col(m)))])
-    cover = extents(df, row_id, dims, sizes).join(kept, "expression")
-    rows = cover.join(df.select(F.col(row_id).alias("row_id"), vals.alias("vals")), "row_id").withColumn("value", F.element_at("vals", F.col("primary_metric"))).where("value is not null")
-    med = rows.groupBy("expression").agg(F.median("value").alias("local_median"), F.count("value").alias("m"), F.stddev_samp("value").alias("sd_local"))
-    dev = rows.join(F.broadcast(med), "expression").groupBy("expression").agg(F.median(F.abs(F.col("value") - F.col("local_median"))).alias("mad_local"))
-    stab = bootstrap_stability(rows.select("expression", "row_id", "value", "global_median", "global_mad"), "expression", "value", F.col("global_median"), F.col("global_mad"))
-    x = top.join(F.broadcast(g), "primary_metric").join(med, "expression").join(dev, "expression").join(stab, "expression")
-    z = S.median_test_z(F.col("local_median"), F.col("global_median"), F.col("mad_local"), F.col("global_mad"), F.col("sd_local"), F.col("m"))
-    tests = F.lit(float(len(metrics))) * F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    x = x.withColumn("effect", F.col("primary_z")).withColumn("p_value", S.two_sided(z)).withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * tests))
-    x = x.withColumn("weight", S.insight_weight(F.col("effect"), F.col("stability"), F.col("volume"), F.lit(None).cast("double")))
-    return select_insights(x).select("expression", F.col("primary_metric").alias("metric"), "n", "local_median", "global_median", "effect", "p_value", "p_adjusted", "stability", "weight", "reason")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import discovery, graph, lattice
+from stratum.operators import discovery, graph, lattice, search
 from stratum.runtime import saved
 from stratum.sources import files
 
@@ -21,7 +21,6 @@ class Options:
     bins: dict[str, int] = field(default_factory=dict)
     time: str | None = None
     tz: str = "UTC"
-    sizes: tuple[int, ...] = (2,)
 
 
 def prepared(df: DataFrame, o: Options) -> DataFrame:
@@ -31,13 +30,23 @@ def prepared(df: DataFrame, o: Options) -> DataFrame:
 
 
 def findings(df: DataFrame, row_id: str, o: Options) -> DataFrame:
-    """Profile the table, choose its dimensions and mine them."""
-    roles = {r["column"]: r["role"] for r in discovery.profile_columns(df, [c for c in df.columns if c != row_id]).collect()}  # a row a column
-    metrics, dims = [c for c, r in roles.items() if r == "metric"], [c for c, r in roles.items() if r == "dimension"]
+    """Profile the table, leave out nested dimensions and colinear metrics, choose the dimensions and mine them."""
+    profile = discovery.profile_columns(df, [c for c in df.columns if c != row_id]).collect()  # a row a column
+    metrics, dims = [r["column"] for r in profile if r["role"] == "metric"], [r["column"] for r in profile if r["role"] == "dimension"]
     if not metrics or len(dims) < 2:
         raise files.IngestionError("a table needs a metric and two dimensions")
+    known = {r["column"]: r for r in profile}
+    for r in discovery.nested_dimensions(df, dims).where("nested").collect():  # a row for each pair of columns
+        coarse, fine = sorted((r["a"], r["b"]), key=lambda c: (known[c]["n_distinct"], df.columns.index(c)))
+        if fine in dims and coarse in dims and known[coarse]["top_share"] < 0.95 and len(dims) > 2:
+            dims.remove(fine)
+    if len(metrics) > 1:
+        for r in discovery.correlated_metrics(df, metrics).where("colinear").collect():
+            late = max(r["a"], r["b"], key=df.columns.index)
+            if late in metrics:
+                metrics.remove(late)
     chosen = [r["dim"] for r in discovery.chosen_dimensions(discovery.dimension_power(df, dims, metrics)).collect()]
-    return discovery.mine(df, row_id, chosen, metrics, o.sizes)
+    return search.mine(df, chosen, metrics)
 
 
 def mine_file(spark: SparkSession, path: str, o: Options) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions import stats as S
-from stratum.operators import anchors, discovery, graph, gridseries, instants, lattice, proximity, spatial, timeplane
+from stratum.operators import anchors, discovery, graph, gridseries, instants, lattice, proximity, search, spatial, timeplane
 from stratum.operators.components import connected_components
 from stratum.plans import pipeline
 from stratum.runtime import load
@@ -232,10 +232,55 @@ def ranked_cohorts(spark, d):
     return rounded(discovery.ranked_slices(discovery.slices(_fact(spark, d), FDIMS, FMETRICS)).select("expression", "n", "temp_index", "rank"))
 
 
+_SETS = [(a, b) for a, b in _PAIRS] + [(a, b, c) for i, a in enumerate(sorted(FDIMS)) for j, b in enumerate(sorted(FDIMS)[i + 1 :], i + 1) for c in sorted(FDIMS)[j + 1 :]]
+_KEPT_LEVELS = "lv AS (" + " UNION ALL ".join(f"SELECT '{k}' AS dim, {k}::VARCHAR AS level, count(*) AS n FROM f WHERE {k} IS NOT NULL GROUP BY 2" for k in FDIMS) + "), kp AS (SELECT dim, level FROM (SELECT dim, level, coalesce(sum(n) OVER (PARTITION BY dim ORDER BY n DESC, level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY dim) AS b FROM lv) WHERE b < 0.95)"
+_INTENT = "concat_ws(' AND ', " + ", ".join(f"CASE WHEN count({k}) = count(*) AND min({k}) = max({k}) THEN '{k}==''' || min({k}) || '''' END" for k in sorted(FDIMS)) + ")"
+_MPAIRS = [(a, b) for i, a in enumerate(FMETRICS) for b in FMETRICS[i + 1 :]]
+_CLOSED = (
+    "WITH r AS (SELECT * FROM "
+    + FACT
+    + "), f AS (SELECT *, "
+    + ", ".join(f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2 AS r_{m}" for m in FMETRICS)
+    + f" FROM r), {_KEPT_LEVELS}, g AS ("
+    + " UNION ALL ".join(
+        "SELECT "
+        + " || ' AND ' || ".join(f"'{k}==''' || {k} || ''''" for k in s)
+        + f" AS expression, {len(s)} AS size, count(*) AS n, {_INTENT} AS intent, "
+        + ", ".join([f"median({m}) AS m_{m}" for m in FMETRICS] + [f"corr(r_{a}, r_{b}) AS c_{a}_{b}" for a, b in _MPAIRS])
+        + " FROM f WHERE "
+        + " AND ".join(f"{k} IN (SELECT level FROM kp WHERE dim = '{k}')" for k in s)
+        + " GROUP BY "
+        + ", ".join(s)
+        for s in _SETS
+    )
+    + f"), t AS (SELECT count(*) AS total, greatest({5 * len(FMETRICS)}, count(*) // 200) AS least FROM f), h AS (SELECT g.*, count(*) OVER (PARTITION BY intent) - 1 AS n_aliases, row_number() OVER (PARTITION BY intent ORDER BY size DESC, expression) AS head FROM g, t WHERE n >= least AND n < total), one AS (SELECT * FROM h WHERE head = 1)"
+)
+_SCORES = (
+    f", gm AS (SELECT {', '.join([f'median({m}) AS g_{m}' for m in FMETRICS] + [f'corr(r_{a}, r_{b}) AS gc_{a}_{b}' for a, b in _MPAIRS])} FROM f), "
+    f"gd AS (SELECT {', '.join(f'CASE WHEN median(abs({m} - g_{m})) = 0 THEN 0.6745 / 0.7979 * avg(abs({m} - g_{m})) ELSE median(abs({m} - g_{m})) END AS d_{m}' for m in FMETRICS)} FROM f, gm), "
+    f"z AS (SELECT expression, n, list_sort([{', '.join(f'least(10, 0.6745 * abs(m_{m} - g_{m}) / (d_{m} + 1e-6))' for m in FMETRICS)}], 'DESC') AS z, sqrt(2 * ({' + '.join(f'coalesce(pow(gc_{a}_{b} - c_{a}_{b}, 2), 0)' for a, b in _MPAIRS)}) / {len(FMETRICS) * (len(FMETRICS) - 1)}) AS change, n / total AS p, total, least FROM one, gm, gd, t), "
+    f"s AS (SELECT expression, n, z[1] + z[2] + z[3] AS sd, CASE WHEN n >= {3 * len(FMETRICS)} THEN change * sqrt(greatest(0, n - least) / (total - least)) ELSE 0 END AS emm, sqrt(p) * (1 - p) AS volume FROM z)"
+)
+_TEMP = " + ".join(f"greatest(0, coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0))" for c in ("sd", "emm", "volume"))
+
+
+@query(_CLOSED + " SELECT expression, intent, n, n_aliases FROM one")
+def closed_cohorts(spark, d):
+    q = search.cube(_fact(spark, d), FDIMS, FMETRICS)
+    heads, _ = search.closed_cohorts(q, search.search_space(q))
+    return heads.select("expression", "intent", "n", F.size("aliases").cast("bigint").alias("n_aliases"))
+
+
+@query(_CLOSED + _SCORES + f" SELECT expression, n, round(sd, 4) AS sd, round(emm, 4) AS emm, round(volume, 4) AS volume, round({_TEMP}, 4) AS temp_index FROM s")
+def scored_cohorts(spark, d):
+    q = search.cube(_fact(spark, d), FDIMS, FMETRICS)
+    heads, extents = search.closed_cohorts(q, search.search_space(q))
+    return rounded(search.scored(q, heads, extents)[0].select("expression", "n", "sd", "emm", "volume", "temp_index"))
+
+
 @query()
 def mined_findings(spark, d):
-    f = _fact(spark, d).withColumn("row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
-    return discovery.mine(f, "row_id", FDIMS, FMETRICS)
+    return search.mine(_fact(spark, d), FDIMS, FMETRICS)
 
 
 _COVER = "SELECT l_orderkey * 16 + l_linenumber AS row_id, UNNEST([" + ", ".join(f"'{a}==''' || {a} || ''' AND {b}==''' || {b} || ''''" for a, b in _PAIRS) + f"]) AS expression FROM {FACT}"
