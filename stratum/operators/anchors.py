@@ -20,13 +20,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    """A vector at unit length, zero as zero; its norm is worked out once, in an array of one."""
+    once = F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n")))
+    return F.get(F.transform(once, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(0.0))), F.lit(0))
+
+
+def _scaled(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x * by)
 
 
 def compose(scope: Column, target: Column, phenomenon: Column, weights: tuple[float, float, float] = (0.45, 0.55, 1.0)) -> Column:
     """Unit composite of three unit blocks."""
-    return l2(F.concat(*[F.transform(l2(b), lambda x, w=w: x * w) for b, w in zip((scope, target, phenomenon), weights, strict=True)]))
+    return l2(F.concat(*[_scaled(l2(b), w) for b, w in zip((scope, target, phenomenon), weights, strict=True)]))
 
 
 def similarities(vectors: DataFrame, anchors: DataFrame) -> DataFrame:

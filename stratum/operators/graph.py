@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from stratum.runtime import saved
 
 PLANES = {"SPECIALIZES": "structural", "SIBLING": "structural", "CONTRASTS": "structural", "ACTIVATES": "latent", "CO_OCCURS": "latent", "RELATED_TO": "latent", "HAS_METRIC": "schema", "HAS_DIMENSION": "schema", "IN_BATCH": "schema", "BATCH_OF": "schema", "IN_REGION": "spatial", "PARENT_OF": "spatial", "CO_LOCATED": "spatial", "PEAKED_IN": "temporal", "DROPPED_IN": "temporal", "WITHIN": "temporal"}
 STRUCTURAL_FACTOR = 0.85
-STRUCTURAL, LATENT = ["SPECIALIZES", "SIBLING", "CONTRASTS", "CO_LOCATED"], ["ACTIVATES"]
+WALKED = ["SPECIALIZES", "CONTRASTS", "CO_LOCATED"]  # siblings are in the graph, but no walk uses them
+STRUCTURAL_HOPS, LATENT_HOPS, SEED_FLOOR = 1, 1, 1e-3
 MAX_DEPTH = 5
 
 
@@ -49,26 +52,42 @@ def closure(e: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, types: list[
     return seen
 
 
-def walk(e: DataFrame, seeds: DataFrame, weights: DataFrame, structural: int = 2, latent: int = 2) -> DataFrame:
-    """(node, score, hops, via): the best product of factors from a seed to each finding.
+def walk(e: DataFrame, seeds: DataFrame, weights: DataFrame, structural: int = STRUCTURAL_HOPS, latent: int = LATENT_HOPS) -> DataFrame:
+    """(node, score, hops, via, route): the best product of factors from a seed to each finding.
 
-    States are (node, structural steps, latent steps); a latent step goes from a finding to an anchor and
-    on to another finding. Factors are at most 1, so the best score of a state is found by expanding
-    layers of ``structural`` + ``latent`` joins, keeping the best of each state after each.
+    A path has three phases: up to ``structural`` steps over WALKED edges, one step up to an anchor and
+    up to ``latent`` steps between anchors, one step down to a finding that is no seed and again up to
+    ``structural`` steps, none of them to a seed. Factors are at most 1, so each phase keeps the best of
+    each node and number of steps. A seed's score is its own, any other finding's is multiplied by its
+    weight. route: ``seed``, ``structural`` (no anchor on the path) or ``transversal``.
     """
-    s = both_ways(e, STRUCTURAL).select("at", "to", F.when(F.col("type").isin("CONTRASTS", "CO_LOCATED"), STRUCTURAL_FACTOR * F.col("weight")).otherwise(F.lit(STRUCTURAL_FACTOR)).alias("f")).groupBy("at", "to").agg(F.max("f").alias("f"))
+    best = lambda df, key: df.groupBy(key).agg(F.max(F.struct("score", (-F.col("hops")).alias("h"), "via")).alias("m")).select(key, "m.score", (-F.col("m.h")).alias("hops"), "m.via")
+    s = both_ways(e, WALKED).select("at", "to", F.when(F.col("type").isin("CONTRASTS", "CO_LOCATED"), STRUCTURAL_FACTOR * F.col("weight")).otherwise(F.lit(STRUCTURAL_FACTOR)).alias("f")).groupBy("at", "to").agg(F.max("f").alias("f"))
     s = saved(s, "structural")
     up = saved(e.where(F.col("type") == "ACTIVATES").groupBy(F.col("source").alias("at"), F.col("target").alias("anchor")).agg(F.max("weight").alias("f")), "latent")
-    state = saved(seeds.select("node", "score", F.lit(0).alias("s"), F.lit(0).alias("l"), F.col("node").alias("via")), "state")
-    total = state
-    for _ in range(structural + latent):
-        a = state.where(F.col("s") < structural).join(s, F.col("node") == F.col("at")).select(F.col("to").alias("node"), (F.col("score") * F.col("f")).alias("score"), (F.col("s") + 1).alias("s"), "l", "via")
-        on = state.where(F.col("l") < latent).join(up, F.col("node") == F.col("at")).select("anchor", (F.col("score") * F.col("f")).alias("score"), "s", (F.col("l") + 1).alias("l"), "via").groupBy("anchor", "s", "l").agg(F.max(F.struct("score", "via")).alias("m")).select("anchor", "m.score", "s", "l", "m.via")
-        b = on.join(up.withColumnRenamed("at", "to"), "anchor").select(F.col("to").alias("node"), (F.col("score") * F.col("f")).alias("score"), "s", "l", "via")
-        state = saved(a.unionByName(b).groupBy("node", "s", "l").agg(F.max(F.struct("score", "via")).alias("m")).select("node", "m.score", "s", "l", "m.via"), "state")
-        total = total.unionByName(state)
-    best = total.groupBy("node").agg(F.max(F.struct("score", (-(F.col("s") + F.col("l"))).alias("h"), "via")).alias("m")).select("node", "m.score", (-F.col("m.h")).alias("hops"), "m.via")
-    return best.join(weights.select(F.col("id").alias("node"), "weight"), "node").select("node", (F.col("score") * F.col("weight")).alias("score"), "hops", "via")
+    between = both_ways(e, ["RELATED_TO", "CO_OCCURS"]).groupBy(F.col("at"), F.col("to")).agg(F.max("weight").alias("f"))
+    start = saved(seeds.select("node", F.greatest("score", F.lit(SEED_FLOOR)).alias("score"), F.lit(0).alias("hops"), F.col("node").alias("via")), "state")
+    own = start.select("node")
+
+    def along(state: DataFrame, steps: DataFrame, key: str, out: str) -> DataFrame:
+        return state.join(steps, F.col(key) == F.col("at")).select(F.col("to").alias(out), (F.col("score") * F.col("f")).alias("score"), (F.col("hops") + 1).alias("hops"), "via")
+
+    phase = [start]
+    for _ in range(structural):
+        phase.append(saved(best(along(phase[-1], s, "node", "node"), "node"), "state"))
+    near = reduce(DataFrame.unionByName, phase)
+    anchor = [saved(best(along(near, up.withColumnRenamed("anchor", "to"), "node", "anchor"), "anchor"), "state")]
+    for _ in range(latent):
+        anchor.append(saved(best(along(anchor[-1], between, "anchor", "anchor"), "anchor"), "state"))
+    down = along(reduce(DataFrame.unionByName, anchor), up.select(F.col("anchor").alias("at"), F.col("at").alias("to"), "f"), "anchor", "node")
+    phase = [saved(best(down.join(own, "node", "left_anti"), "node"), "state")]
+    for _ in range(structural):
+        phase.append(saved(best(along(phase[-1], s, "node", "node").join(own, "node", "left_anti"), "node"), "state"))
+    far = reduce(DataFrame.unionByName, phase)
+    total = near.withColumn("route", F.when(F.col("hops") == 0, "seed").otherwise("structural")).unionByName(far.withColumn("route", F.lit("transversal")))
+    x = total.join(weights.select(F.col("id").alias("node"), "weight"), "node").withColumn("score", F.when(F.col("route") == "seed", F.col("score")).otherwise(F.col("score") * F.col("weight")))
+    m = x.groupBy("node").agg(F.max(F.struct("score", (-F.col("hops")).alias("h"), "via", "route")).alias("m"))
+    return m.select("node", "m.score", (-F.col("m.h")).alias("hops"), "m.via", "m.route")
 
 
 def seed_scores(insights: DataFrame, target: str, attribute: str, value: str, direction: int) -> DataFrame:

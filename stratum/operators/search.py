@@ -24,6 +24,11 @@ REPS = 20
 DRIVER_JS, DRIVER_P, HIDDEN_Z = 0.15, 0.01, 1.5
 
 
+def _nine(c: Column) -> Column:
+    """Nine significant digits, so that a sum of doubles doesn't depend on the order of its terms."""
+    return F.format_string("%.8e", c).cast("double")
+
+
 @dataclass
 class Cube:
     """A table by its combinations of levels."""
@@ -173,7 +178,7 @@ def global_scale(q: Cube) -> DataFrame:
     far = of([max(edges[m][1] - at.get(i, 0.0), at.get(i, 0.0) - edges[m][0]) or 1.0 for i, m in enumerate(q.metrics)])
     d = x.select("m", F.abs(F.col("v") - of([at.get(i, 0.0) for i in range(len(q.metrics))])).alias("v"), far.alias("far"))
     d = d.select("m", "v", F.least(F.lit(32 * BINS), F.floor(F.col("v") / F.col("far") * 32 * BINS)).cast("int").alias("b"))
-    mean = d.groupBy("m").agg(F.avg("v").alias("mean_dev"))
+    mean = d.groupBy("m").agg(_nine(F.avg("v")).alias("mean_dev"))
     mad = _middles(d).select("m", F.col("median").alias("mad0"))
     name = F.element_at(F.array(*[F.lit(m) for m in q.metrics]), F.col("m") + 1)
     return med.join(mad, "m").join(mean, "m").select(name.alias("metric"), "n", "median", F.when(F.col("mad0") == 0, S.NORMAL / S.MEAN_DEV * F.col("mean_dev")).otherwise(F.col("mad0")).alias("mad"))
@@ -271,7 +276,9 @@ def stability(q: Cube, kept: DataFrame, extents: DataFrame, shifts: DataFrame, r
     A resample draws Poisson weights (by their normal limit, from hashes, so that results don't depend
     on partitions) for the counts of FINE bins of each metric; a resampled median is its bin's middle.
     """
-    edges = _edges(q)
+    wide = lambda mad: 5 * (mad or 1.0) / S.NORMAL  # noqa: E731  # five standard deviations, exact, so that bins don't depend on partitions either
+    edges = {r["metric"]: (r["global_median"] - wide(r["global_mad"]), r["global_median"] + wide(r["global_mad"])) for r in shifts.select("metric", "global_median", "global_mad").distinct().collect()}  # a row a metric
+    edges |= {m: (0.0, 1.0) for m in q.metrics if m not in edges}
     top = shifts.where("r <= 3").select("k", "metric", "global_median", "global_mad").join(F.broadcast(kept.select("k")), "k", "left_semi")
     code = F.create_map(*[x for i, m in enumerate(q.metrics) for x in (F.lit(m), F.lit(i))])
     lo = F.create_map(*[x for m in q.metrics for x in (F.lit(m), F.lit(float(edges[m][0])))])
@@ -280,7 +287,7 @@ def stability(q: Cube, kept: DataFrame, extents: DataFrame, shifts: DataFrame, r
     x = q.rows.select("c", _binned(q, edges, FINE)).where("x is not null").groupBy("c", "x.m", "x.b").agg(F.count(F.lit(1)).alias("h"))
     h = x.join(small(mine, 500_000), "c").groupBy("k", "m", "b").agg(F.sum("h").alias("h"))
     h = saved(h.join(F.broadcast(top.withColumn("m", code[F.col("metric")])), ["k", "m"]), "fine")
-    u = lambda salt: (F.pmod(F.xxhash64("k", "m", "b", "rep", F.lit(salt)), F.lit(1_000_003)) + 1) / F.lit(1_000_004.0)
+    u = lambda salt: (F.pmod(F.xxhash64("k", "metric", "b", "rep", F.lit(salt)), F.lit(1_000_003)) + 1) / F.lit(1_000_004.0)
     draw = F.greatest(F.lit(0.0), F.round(F.col("h") + F.sqrt("h") * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))))
     d = h.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", draw).where("w > 0")
     w = Window.partitionBy("k", "m", "rep")
@@ -298,7 +305,7 @@ def spreads(q: Cube, kept: DataFrame, extents: DataFrame) -> DataFrame:
     v = q.rows.join(small(mine, 500_000), "c").withColumn("v", value).where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
     v = saved(v, "values")
     n, s, s2 = F.sum("w"), F.sum(F.col("w") * F.col("v")), F.sum(F.col("w") * F.col("v") * F.col("v"))
-    base = v.groupBy("k").agg(n.alias("m"), F.sqrt(F.greatest(F.lit(0.0), (s2 - s * s / n) / (n - 1))).alias("sd_local"))
+    base = v.groupBy("k").agg(n.alias("m"), _nine(F.sqrt(F.greatest(F.lit(0.0), (s2 - s * s / n) / (n - 1)))).alias("sd_local"))
     d = v.join(F.broadcast(kept.select("k", "local_median")), "k").withColumn("d", F.abs(F.col("v") - F.col("local_median"))).groupBy("k", "d").agg(F.sum("w").alias("w"))
     w = Window.partitionBy("k")
     d = d.withColumn("up", F.sum("w").over(w.orderBy("d"))).withColumn("all", F.sum("w").over(w))
@@ -370,4 +377,4 @@ def mine(df: DataFrame, dims: list[str], metrics: list[str], most: int = KEPT, m
     named = confounders(q, kept, extents).select("k", F.struct(F.lit(0).alias("o"), (-F.col("js")).alias("by"), F.concat(F.lit("["), "dim", F.lit("] heavily skewed to '"), "level", F.lit("' (JS: "), F.format_number("js", 2), F.lit(")")).alias("text")).alias("d"))
     hidden = shifts.where((F.col("r") > 3) & (F.abs("z") > HIDDEN_Z)).select("k", F.struct(F.lit(1).alias("o"), (-F.abs("z")).alias("by"), F.concat(F.lit("["), "metric", F.lit("] hidden shift ("), F.when(F.col("z") >= 0, "+").otherwise(""), F.format_number("z", 1), F.lit(" robust sigma)")).alias("text")).alias("d"))
     drivers = named.unionByName(hidden).groupBy("k").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 3).alias("d")).select("k", F.transform("d", lambda d: d["text"]).alias("drivers"))
-    return x.join(drivers, "k", "left").select("expression", "intent", "kind", "metric", "n", "local_median", "global_median", "effect", "p_value", "p_adjusted", "stability", "emm", "weight", F.coalesce("drivers", F.array().cast("array<string>")).alias("drivers"), "n_aliases", "reason")
+    return x.join(drivers, "k", "left").select("expression", "intent", "kind", "metric", "n", "local_median", "global_median", "effect", "p_value", "p_adjusted", *[F.round(c, 9).alias(c) for c in ("stability", "emm", "weight")], F.coalesce("drivers", F.array().cast("array<string>")).alias("drivers"), "n_aliases", "reason")

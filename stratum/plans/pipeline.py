@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import discovery, graph, lattice, search
+from stratum.operators import anchors, discovery, graph, lattice, search
 from stratum.runtime import saved
 from stratum.sources import files
 
@@ -31,7 +31,7 @@ def prepared(df: DataFrame, o: Options) -> DataFrame:
 
 def findings(df: DataFrame, row_id: str, o: Options) -> DataFrame:
     """Profile the table, leave out nested dimensions and colinear metrics, choose the dimensions and mine them."""
-    profile = discovery.profile_columns(df, [c for c in df.columns if c != row_id]).collect()  # a row a column
+    profile = sorted(discovery.profile_columns(df, [c for c in df.columns if c != row_id]).collect(), key=lambda r: df.columns.index(r["column"]))  # a row a column
     metrics, dims = [r["column"] for r in profile if r["role"] == "metric"], [r["column"] for r in profile if r["role"] == "dimension"]
     if not metrics or len(dims) < 2:
         raise files.IngestionError("a table needs a metric and two dimensions")
@@ -60,7 +60,10 @@ def compile_graph(insights: DataFrame, activations: DataFrame | None = None) ->
     sib = saved(lattice.siblings(s), "siblings")
     e = graph.schema_plane(insights).unionByName(graph.edges(lattice.specialisations(s), "child", "parent", "SPECIALIZES")).unionByName(graph.edges(sib, "a", "b", "SIBLING"))
     e = e.unionByName(graph.edges(lattice.contrasts(sib.select("a", "b"), s), "a", "b", "CONTRASTS", F.least(F.lit(1.0), F.col("strength") / 10)))
-    return e.unionByName(graph.edges(activations, "id", "anchor", "ACTIVATES", F.col("strength"))) if activations is not None else e
+    if activations is None:
+        return e
+    act = activations.groupBy("id", "anchor").agg(F.max("strength").alias("strength"))
+    return e.unionByName(graph.edges(act, "id", "anchor", "ACTIVATES", F.col("strength"))).unionByName(graph.edges(anchors.co_occurrences(act), "a", "b", "CO_OCCURS", F.col("weight")))
 
 
 def answer(insights: DataFrame, activations: DataFrame, target: str, attribute: str, value: str, direction: int, most: int = 10) -> DataFrame:

@@ -699,3 +699,75 @@ def headlines(spark, d):
 def pattern_ids(spark, d):
     i = load(spark, d, "insights").where("id is not null").dropDuplicates(["id"])
     return i.select("id", lattice.pattern_id(F.col("dataset_id"), F.col("conditions")).alias("pattern_id"))
+
+
+# --- single steps that runs are made of -----------------------------------------------------------
+
+
+@query(f"WITH c AS (SELECT batch_id AS cell, segment AS level, count(*) AS n FROM deliveries WHERE batch_id IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2), t AS (SELECT cell, sum(n) AS n, max(n) / sum(n) AS top FROM c GROUP BY 1) SELECT round(avg(top), 4) AS purity, count(*) AS cells FROM t WHERE n >= 5")
+def role_purity(spark, d):
+    return rounded(spatial.purity(spatial.level_shares(load(spark, d, "deliveries"), F.col("batch_id"), "segment")))
+
+
+@query("WITH e AS (SELECT segment AS pattern, area AS region FROM deliveries WHERE area IS NOT NULL), g AS (SELECT pattern, region, count(*) AS x FROM e WHERE pattern IS NOT NULL GROUP BY 1, 2), t AS (SELECT g.pattern, g.region, x, np * nr / (SELECT count(*) FROM e) AS expected, nr / (SELECT count(*) FROM e) AS share FROM g JOIN (SELECT region, count(*) AS nr FROM e GROUP BY 1) USING (region) JOIN (SELECT pattern, count(*) AS np FROM e GROUP BY 1) USING (pattern)) SELECT pattern, region, x, round(expected, 4) AS expected, round(x / expected, 4) AS lift FROM t WHERE x / expected >= 1.02 AND x >= 30")
+def region_lifts(spark, d):
+    e = load(spark, d, "deliveries").where("area is not null").select(F.col("segment").alias("pattern"), F.col("area").alias("region"))
+    return rounded(spatial.region_lift(e, 1.02, 1.0).where("x >= 30").select("pattern", "region", "x", "expected", "lift"))
+
+
+@query("WITH t AS (SELECT quantile_cont(epoch(ts), 0.01) AS a, quantile_cont(epoch(ts), 0.99) AS b, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts FROM events WHERE ts IS NOT NULL)), u AS (SELECT unnest([{'g': 'day', 'd': 1.0}, {'g': 'week', 'd': 7.0}, {'g': 'month', 'd': 30.4375}, {'g': 'quarter', 'd': 91.3125}]) AS u) SELECT u.g AS grid, greatest(1, ceil((b - a) / 86400 / u.d))::BIGINT AS bins, round(n / greatest(1, ceil((b - a) / 86400 / u.d)), 4) AS rows_per_bin FROM t, u")
+def grid_choices(spark, d):
+    return rounded(timeplane.auto_grid(load(spark, d, "events"), "ts"))
+
+
+@query("SELECT DISTINCT p.period, round(greatest(0, date_diff('day', greatest(p.period, DATE '2024-02-10'), least(p.period + INTERVAL 7 DAY, DATE '2024-04-01'))) / 51, 4) AS cover FROM (SELECT DISTINCT date_trunc('week', ts)::DATE AS period FROM events WHERE ts IS NOT NULL) p")
+def interval_covers(spark, d):
+    p = load(spark, d, "events").where("ts is not null").select(F.to_date(F.date_trunc("week", "ts")).alias("period")).distinct()
+    lo, hi = (F.lit(x).cast("date") for x in ("2024-02-10", "2024-04-01"))
+    return rounded(p.select("period", timeplane.interval_cover(F.col("period"), F.date_add("period", 7), lo, hi).alias("cover")))
+
+
+@query(f"SELECT id, len(list_filter(shifts, lambda s: s.metric = target OR abs(s.robust_z) >= 1 AND NOT isnan(s.robust_z))) AS n FROM {_INS} WHERE shifts IS NOT NULL AND target IS NOT NULL AND len(list_filter(shifts, lambda s: s.robust_z IS NULL OR isnan(s.robust_z))) = 0")
+def material_shifts(spark, d):
+    i = load(spark, d, "insights").where("id is not null and shifts is not null and target is not null and not exists(shifts, s -> s.robust_z is null or isnan(s.robust_z))").dropDuplicates(["id"])
+    return i.select("id", F.size(lattice.phenomenon_shifts(F.col("shifts"), F.col("target"))).cast("bigint").alias("n"))
+
+
+@query("SELECT dataset_id, sha256('{\"filename\":\"' || filename || '\",\"grid\":\"' || grid || '\"}') AS digest FROM datasets WHERE filename IS NOT NULL AND grid IS NOT NULL")
+def record_digests(spark, d):
+    t = load(spark, d, "datasets").where("filename is not null and grid is not null")
+    return t.select("dataset_id", lattice.record_digest(t, ["grid", "filename"]).alias("digest"))
+
+
+@query(f"SELECT rank, id, rank || '. ' || target AS line FROM (SELECT id, target, row_number() OVER (ORDER BY weight DESC, id) AS rank FROM {_INS} WHERE weight IS NOT NULL AND target IS NOT NULL) WHERE rank <= 25")
+def report_lines(spark, d):
+    i = load(spark, d, "insights").where("id is not null and weight is not null and target is not null").dropDuplicates(["id"])
+    return lattice.ranked_lines(i.select("id", "weight", F.col("target").alias("line")), 25)
+
+
+@query(f"SELECT dataset_id AS anchor, s.metric AS component, round(sum(weight * s.robust_z), 4) + 0.0 AS \"value\" FROM (SELECT dataset_id, weight, unnest(shifts) AS s FROM {_INS}) WHERE dataset_id IS NOT NULL AND weight IS NOT NULL AND s.robust_z IS NOT NULL AND NOT isnan(s.robust_z) GROUP BY 1, 2")
+def signatures(spark, d):
+    i = load(spark, d, "insights").where("id is not null and dataset_id is not null and weight is not null").dropDuplicates(["id"])
+    m = i.select(F.col("dataset_id").alias("anchor"), F.col("weight").alias("strength"), F.explode("shifts").alias("s")).select("anchor", "strength", F.col("s.metric").alias("component"), F.col("s.robust_z").alias("z")).where("z is not null and not isnan(z)")
+    return rounded(anchors.signature(m).select("anchor", "component", "value"))
+
+
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, e[1:16] AS a, e[17:32] AS b, e[33:] AS c FROM v WHERE len(e) > 32), n AS (SELECT vec_id, list_concat(list_transform(a, lambda x: 0.45 * x / sqrt(list_dot_product(a, a))), list_concat(list_transform(b, lambda x: 0.55 * x / sqrt(list_dot_product(b, b))), list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))))) AS w FROM u) SELECT vec_id, round(w[1] / sqrt(list_dot_product(w, w)), 4) + 0.0 AS first, round(w[len(w)] / sqrt(list_dot_product(w, w)), 4) + 0.0 AS last FROM n")
+def composites(spark, d):
+    e = load(spark, d, "embeddings").where("size(embedding) > 32")
+    blocks = [F.slice("embedding", 1, 16), F.slice("embedding", 17, 16), F.slice("embedding", F.lit(33), F.size("embedding") - 32)]
+    return rounded(e.select("vec_id", anchors.compose(*blocks).alias("w")).select("vec_id", F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last")))
+
+
+@query("SELECT discount, round((1 - r) / (1 + r), 6) AS factor FROM (SELECT DISTINCT l_discount AS discount, least(greatest(l_discount * 12 - 0.2, 0), 0.99) AS r FROM lineitem WHERE l_discount IS NOT NULL)")
+def effective_n_factors(spark, d):
+    t = load(spark, d, "lineitem").where("l_discount is not null").select(F.col("l_discount").alias("discount")).distinct()
+    return t.select("discount", F.round(S.effective_n_factor(F.col("discount") * 12 - 0.2), 6).alias("factor"))
+
+
+@query(f"WITH {_CELLS} SELECT '5:' || {_PQ} || ':' || {_PR} AS tile, '[' || array_to_string(list(cell ORDER BY cell), ', ') || ']' AS cells, '[' || array_to_string(list(events ORDER BY cell), ', ') || ']' AS events FROM cl GROUP BY 1")
+def packed_cells(spark, d):
+    t = spatial.cell_table(load(spark, d, "deliveries").select("lat", "lon", "basket"), "lat", "lon", _RES, ["basket"])
+    p = exports.packed(t.withColumn("tile", spatial.parent(F.col("cell"), 5)), "tile", ["events"])
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+    return p.select("tile", text("cell").alias("cells"), text("events").alias("events"))

@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, else one of our own (local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="stratum-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

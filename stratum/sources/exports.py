@@ -32,4 +32,4 @@ def rows_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def packed(cells: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row a key with an array for each column, cells in id order; keys are map tiles of bounded size."""
-    return cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cell", *columns))).alias("a")).select(key, F.transform("a", lambda x: x["cell"]).alias("cell"), *[F.transform("a", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cell", *columns))).alias("a")).select(key, F.col("a")["cell"].alias("cell"), *[F.col("a")[c].alias(c) for c in columns])

@@ -125,13 +125,15 @@ def test_anchors_learn_batches():
     assert anchors.sphere(base).shape == (3, 3)
 
 
-def test_walk_is_best_product(spark):
-    e = spark.createDataFrame([("a", "A", "ACTIVATES", 0.9), ("b", "A", "ACTIVATES", 0.5), ("b", "B", "ACTIVATES", 0.8), ("c", "B", "ACTIVATES", 1.0), ("a", "d", "SPECIALIZES", 1.0), ("d", "c", "SIBLING", 1.0)], "source string, target string, type string, weight double")
-    w = spark.createDataFrame([(x, 1.0) for x in "abcd"], "id string, weight double")
-    got = {r["node"]: round(r["score"], 6) for r in graph.walk(e, spark.createDataFrame([("a", 1.0)], "node string, score double"), w).collect()}
-    assert got == {"a": 1.0, "b": 0.45 if 0.45 >= 0.85**2 * 1.0 * 0.8 else round(0.85**2 * 0.8, 6), "d": 0.85, "c": 0.7225}
+def test_walk_is_best_product_of_three_phases(spark):
+    """Structural, then anchors, then structural; siblings aren't walked and no path returns to a seed."""
+    e = spark.createDataFrame([("a", "A", "ACTIVATES", 0.9), ("b", "A", "ACTIVATES", 0.5), ("b", "B", "ACTIVATES", 0.8), ("c", "B", "ACTIVATES", 1.0), ("a", "d", "SPECIALIZES", 1.0), ("d", "c", "SIBLING", 1.0), ("d", "f", "CONTRASTS", 0.5), ("A", "B", "CO_OCCURS", 0.6), ("c", "g", "CO_LOCATED", 0.5), ("g", "h", "SPECIALIZES", 1.0)], "source string, target string, type string, weight double")
+    w = spark.createDataFrame([(x, 0.5 if x == "c" else 1.0) for x in "abcdfgh"], "id string, weight double")
+    got = {r["node"]: (round(r["score"], 6), r["route"]) for r in graph.walk(e, spark.createDataFrame([("a", 1.0)], "node string, score double"), w).collect()}
+    by_b = 0.9 * 0.6 * 0.8
+    assert got == {"a": (1.0, "seed"), "d": (0.85, "structural"), "b": (round(max(0.45, by_b), 6), "transversal"), "c": (round(0.9 * 0.6 * 0.5, 6), "transversal"), "g": (round(0.9 * 0.6 * 0.85 * 0.5, 6), "transversal")}
     far = {r["node"]: r["distance"] for r in graph.closure(e, spark.createDataFrame([("a",)], "node string"), 2).collect()}
-    assert far == {"a": 0, "A": 1, "d": 1, "b": 2, "c": 2}
+    assert far == {"a": 0, "A": 1, "d": 1, "b": 2, "c": 2, "B": 2, "f": 2}
 
 
 def test_text_tables(spark, tmp_path):
@@ -169,3 +171,13 @@ def test_store_commits_once_and_drops(spark, tmp_path):
     assert s.read("t") is None and s.commit("b1", {"t": df}) and not s.commit("b1", {"t": df}) and s.commit("b2", {"t": df})
     assert s.read("t").count() == 6 and s.drop({"b1"}) == 1 and s.read("t").count() == 3 and s.sweep() == 1
     assert statistics.mean(r["id"] for r in s.read("t").collect()) == 1
+
+
+def test_rows_csv_and_text_vectors(spark, tmp_path):
+    from stratum.sources import exports
+
+    df = spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "row_id bigint, cell string, v double")
+    exports.rows_csv(df.coalesce(1), str(tmp_path / "rows"), ["cell"])
+    assert sorted(spark.read.option("header", True).csv(str(tmp_path / "rows")).collect()) == [("1", "a"), ("2", None)]
+    v = {r["k"]: np.array(r["v"]) for r in anchors.hashed_text_vectors(spark.createDataFrame([(1, "late vans"), (2, "Late Vans"), (3, None), (4, "rain")], "k int, t string"), "k", "t").collect()}
+    assert np.allclose(v[1], v[2]) and not v[3].any() and abs(np.linalg.norm(v[4]) - 1) < 1e-9 and v[1] @ v[4] < 0.5
