@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.runtime import saved
+from stratum.runtime import saved, small
 
 Z_CAP = 10.0
 NORMAL = 0.6745  # MAD of the standard normal distribution
@@ -107,15 +107,15 @@ def running_total(counts: DataFrame, value: str, weight: str, out: str) -> DataF
 
 
 def ranged_median(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """(keys..., n, median) of few groups of any size, from counts of their distinct values.
+    """(keys..., n, median) of groups of any size, from counts of their distinct values.
 
-    A group's values are ranged over tasks by :func:`running_total`'s way, with the group first.
+    Values are ranged over tasks, by group first, so that no task has to hold a group.
     """
     ranged = saved(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()), "ranged")
     part = ranged.groupBy(*keys, "_p").agg(F.sum(weight).alias("_t"))
     w = Window.partitionBy(*keys)
     before = part.withColumn("_b", F.sum("_t").over(w.orderBy("_p")) - F.col("_t")).withColumn("_n", F.sum("_t").over(w)).drop("_t")  # a row for each task that has some of a group
-    x = ranged.join(F.broadcast(before), [*keys, "_p"])
+    x = ranged.join(small(saved(before, "before"), 100_000), [*keys, "_p"])
     x = x.withColumn("_up", F.col("_b") + F.sum(weight).over(Window.partitionBy(*keys, "_p").orderBy(value)))
     low, high = F.min(F.when(F.col("_up") * 2 >= F.col("_n"), F.col(value))), F.min(F.when(F.col("_up") * 2 > F.col("_n"), F.col(value)))
     return x.groupBy(*keys).agg(F.max("_n").alias("n"), ((low + high) / 2).alias("median"))
