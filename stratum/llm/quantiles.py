@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.stats import ranged_median
 from stratum.runtime import saved, small
 
 K = 1024  # values in a buffer; the rank error of n values is at most log2(n / K) / (2 K) of n
@@ -178,7 +179,6 @@ def summaries(long: DataFrame, keys: list[str], value: str = "value", k: int = K
         import pandas as pd
 
         held: dict[tuple, Summary] = {}
-        loose: dict[tuple, list[np.ndarray]] = {}
         kinds = None
         for b in batches:
             kinds = [b.schema.field(x).type for x in keys]
@@ -190,7 +190,6 @@ def summaries(long: DataFrame, keys: list[str], value: str = "value", k: int = K
             if len(held) > 20_000:  # many small groups: pass them on
                 yield _packed(list(held), list(held.values()), keys, kinds)
                 held = {}
-        del loose
         if held:
             yield _packed(list(held), list(held.values()), keys, kinds)
 
@@ -328,8 +327,9 @@ def wrong_statements(deliveries: DataFrame, profiles: DataFrame, insights: DataF
     column and groups without values give no case; repeated records count once.
     """
     rec = records(profiles, insights)
-    rows = deliveries.select("dataset_id", "batch_id", *DIMS, *METRICS).where("batch_id is not null")
-    counts = saved(rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("dataset_id").alias("dataset_id")), "counts")
+    at = F.coalesce("batch_id", F.concat(F.lit("\u0000"), F.coalesce("dataset_id", F.lit(""))))  # rows of no batch count for their dataset
+    rows = deliveries.select("dataset_id", "batch_id", *DIMS, *METRICS).withColumn("at", at)
+    counts = saved(rows.groupBy(F.col("at").alias("batch_id")).agg(F.count(F.lit(1)).alias("n"), F.min("dataset_id").alias("dataset_id")), "counts")
     big = counts.where(F.col("n") > chunk).select("batch_id", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     one = rec.where("batch_id is not null")
     # records of a whole dataset that have conditions need a summary from each of its batches
@@ -340,10 +340,9 @@ def wrong_statements(deliveries: DataFrame, profiles: DataFrame, insights: DataF
         rows, asked = rows.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0))
     else:
         big = small(big, 100_000)
-        rows = rows.withColumn("row", F.monotonically_increasing_id()).join(big, "batch_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("row")
+        rows = rows.withColumn("row", F.monotonically_increasing_id()).join(big.withColumnRenamed("batch_id", "at"), "at", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("row")
         asked = asked.join(big.withColumnRenamed("batch_id", "at"), "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
 
-    rows = rows.withColumn("at", F.col("batch_id"))
     held = rows.groupBy("at", "part").cogroup(asked.groupBy("at", "part")).applyInArrow(lambda key, left, right: _hold(key, left, right, k), OUT)
     held = saved(held, "held")
     return _judged(held, rec, deliveries, big, k)
@@ -397,7 +396,8 @@ def _count_open(still: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Exact counts for the statements that a summary's error leaves open, from their rows alone.
 
     ``still``: (record_id, metric, field, v, dataset_id, batch_id or null, cohort). Each stated value
-    costs two sums; only a MAD also needs the exact median, from counts of distinct values.
+    costs two sums; only a MAD also needs the exact median, from counts of distinct values that are
+    ranged over tasks.
     """
     u = still.select("record_id", "metric", "field", "v", "dataset_id", "batch_id", "cohort").distinct()
     u = saved(u.withColumn("uid", F.xxhash64("record_id", "metric", "field", "v", "batch_id")), "open")
@@ -410,7 +410,7 @@ def _count_open(still: DataFrame, deliveries: DataFrame) -> DataFrame:
     xs = xs.unionByName(l.join(r.where("batch_id is null"), (F.col("l.dataset_id") == F.col("q.dataset_id")) & (F.col("l.metric") == F.col("q.metric"))).where(met).select("uid", "record_id", "q.metric", "field", "v", "x"))
     w = xs.groupBy("uid", "record_id", "metric", "field", "v", "x").agg(F.count(F.lit(1)).alias("w"))
     w = saved(w, "counted")
-    mid = w.where("field = 'global_mad'").groupBy("uid").agg(F.percentile("x", F.lit(0.5), F.col("w")).alias("mid"))
+    mid = ranged_median(w.where("field = 'global_mad'").select("uid", "x", "w"), ["uid"], "x", "w").select("uid", F.col("median").alias("mid"))
     d = w.join(mid, "uid", "left").withColumn("y", F.when(F.col("field") == "global_mad", F.abs(F.col("x") - F.col("mid"))).otherwise(F.col("x")))
     s = d.groupBy("uid", "record_id", "metric", "field").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") <= F.col("v"), F.col("w")).otherwise(0)).alias("le"), F.sum(F.when(F.col("y") < F.col("v"), F.col("w")).otherwise(0)).alias("lt"))
     return s.where((F.col("le") < LOW * F.col("n")) | (F.col("lt") > HIGH * F.col("n"))).select("record_id", "metric", "field")

@@ -67,6 +67,15 @@ def test_wrong_statements(spark, k, chunk):
     assert len(got) == len(set(got)) and set(got) == WRONG
 
 
+@pytest.mark.parametrize("k,chunk", [(1024, 500_000), (16, 40)])
+def test_rows_of_no_batch_count_for_their_dataset(spark, k, chunk):
+    d, p, i = tables(spark, 2, 60)
+    extra = spark.createDataFrame([(9_000 + j, "D0", None, *[None] * 9, 900.0 + j, None, None, None) for j in range(400)], d.schema)
+    stated = spark.createDataFrame([("ok", "D0", None, None, None, {"basket": 1080.0}, None), ("no", "D0", None, None, None, {"basket": 50.0}, None)], p.schema)
+    got = {tuple(r) for r in Q.wrong_statements(d.unionByName(extra), stated, i.limit(0), k=k, chunk=chunk).collect()}
+    assert got == {("no", "basket", "global_median")}
+
+
 def test_empty_tables(spark):
     a, b, c = tables(spark, 1, 20)
     assert Q.wrong_statements(a.limit(0), b, c).count() == 0
