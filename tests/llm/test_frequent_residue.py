@@ -44,3 +44,18 @@ def test_segments_and_spans_keep_their_places(spark):
     p = R.Page(texts)
     a, b = p.segments()
     assert [p.text[x:y] for x, y in zip(a, b)] == ["One thing.", "Two", "<b>", "bold", "</b>", "words!", "(Three)", "x" * 10, "Four", "five…", "six"]
+
+
+def test_forms_of_slots_that_the_model_has_not_seen():
+    """Forms held out from the slot model, in sentences; sentences with emphasis, sets and code stay clean."""
+    from stratum.llm import residue_seeds as seeds
+
+    text, shape, _ = R._counted([prose(k) + f" The **{k}** _old_ set {{a, b}} and f(x[{k}]) <b>were</b> [P{k}]." for k in range(500)])
+    wraps = seeds.wraps()
+    for held in (["~~", "~~~"], ["@@", "@@@"], ["{{", "{{{"], ["%%", "%%%"]):
+        model = R.Model(text, shape, [w for w in wraps if w[0].strip() not in held])
+        a, b = next(w for w in wraps if w[0] == held[0])
+        found = [R.residue_spans(f"Kudep ering the {a}{n}{b} moring allo vanmor.", model) for n in ("customer", "ORDER_ID", "zone.label", "link")]
+        assert sum(map(bool, found)) >= 3, (held, found)
+        for clean in ("Kudep **ering** moring _allo_ vanmor.", "The set {a, b} and {c, d} are one.", "See [P4] and f(x[3]) in <b>bold</b>."):
+            assert not R.residue_spans(clean, model), (held, clean)
