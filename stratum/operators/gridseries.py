@@ -35,7 +35,9 @@ def observed_cells(readings: DataFrame, datasets: DataFrame) -> DataFrame:
     kept = kept.where("source_id is not null and read_at is not null and value is not null and not isnan(value) and abs(value) < double('infinity')")
     calendar = datasets.select("dataset_id", F.lower("grid").alias("grid"), F.coalesce("tz", F.lit("UTC")).alias("tz")).where(F.col("grid").isin(*UNITS)).dropDuplicates(["dataset_id"])
     timed = kept.join(calendar, "dataset_id")
-    local = F.from_utc_timestamp("read_at", F.col("tz")) if dict(readings.dtypes)["read_at"] == "timestamp" else F.convert_timezone(F.lit("UTC"), F.col("tz"), F.col("read_at"))
+    # wall times without a zone, so that the session's own zone has no part in it
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_micros(read_at) / 1000000BD)") if dict(readings.dtypes)["read_at"] == "timestamp" else F.col("read_at")
+    local = F.convert_timezone(F.lit("UTC"), F.col("tz"), utc)
     timed = timed.withColumn("period", period_start(local, F.col("grid")))
     # sums of two levels: the first adds up exact repeats, so that a burst in one source is combined map-side
     return timed.groupBy("source_id", "grid", "period", "read_at", "value").agg(F.lit(1).alias("one")).groupBy("source_id", "grid", "period").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))

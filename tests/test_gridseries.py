@@ -37,3 +37,17 @@ def test_zone_weeks_and_quarters(spark):
 def test_empty(spark):
     r, ds = frames(spark, [], [])
     assert G.missing_periods(r, ds).count() == 0
+
+
+def test_session_zone_has_no_part(spark):
+    from stratum.operators import gridseries as G
+
+    r = spark.sql("select 's' as source_id, 'd' as dataset_id, timestamp '2024-03-01 23:30:00Z' + make_interval(0, 0, 0, x) as read_at, 1.0D as value from values (0), (3) as t(x)")
+    d = spark.createDataFrame([("d", "day", "Europe/Berlin")], "dataset_id string, grid string, tz string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(str(x["period"]) for x in G.observed_cells(r, d).collect()) == ["2024-03-02", "2024-03-05"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
