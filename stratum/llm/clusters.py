@@ -1,4 +1,4 @@
-"""Groups of mutually similar records: MinHash banding, exact verification, connected components."""
+"""Groups of mutually similar records: MinHash banding, exact comparison of what it left apart, connected components."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm import vectors as V
 from stratum.operators.components import connected_components, roots
-from stratum.runtime import process_cache, saved, small, spread
+from stratum.runtime import forget, process_cache, saved, small, spread
 
-BITS = 8
-SLACK = 0.008  # six standard deviations of the error of a cosine of 8-bit vectors
+BITS = 8  # a component, of vectors that travel to their buckets
+FINE = 16  # a component, of vectors that are compared with all others
+BLOCK = 2_048  # rows of one metric and sign that are compared with as many others at once
 TOP = 40  # a vector's set: its 40 largest components, each with its sign
 BANDS = 10
 BRANCHES, LEVELS = 6, 3  # a crowded bucket goes on to BRANCHES buckets of one MinHash row more, LEVELS times
 CROWDED = 8_192  # rows of a bucket above which it is split, or compared in blocks
 VOCAB = 2 * V.DIM
-LINK = "a string, b string, degree int, sure boolean"
+LINK = "a string, b string, degree int"
 
 
 def token_sets(u: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -37,6 +39,15 @@ def minhash(tokens: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return held[k][tokens].min(1)
 
 
+def errors(x: np.ndarray, bits: int) -> np.ndarray:
+    """How far each vector of ``bits`` bits can be from its origin, in radians: two of these bound the error of a cosine.
+
+    A component is off by half a step (by a little more at BITS, which are cut from FINE); the largest
+    component has 2 ** (bits - 1) - 1 steps. 1e-5 is for sums of 32 bits.
+    """
+    return (0.51 * np.sqrt(x.shape[1]) / (2 ** (bits - 1) - 1) * np.abs(x).max(1) + 1e-5).astype(np.float32)
+
+
 def mix(h: np.ndarray, x) -> np.ndarray:
     """A 64-bit hash of a hash and a number."""
     z = (h.astype(np.uint64) ^ (np.asarray(x, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,7 +83,7 @@ def prepared(insights: DataFrame) -> DataFrame:
     p = insights.where("id is not null").withColumn("ok", F.expr(ok)).withColumn("most", F.expr("array_max(transform(ok, s -> abs(s.robust_z)))"))
     p = p.withColumn("top", F.expr("get(filter(ok, s -> abs(s.robust_z) = most), 0)")).where("top is not null")
     p = p.select("id", F.xxhash64("top.metric", F.col("top.robust_z") >= 0).alias("k"), "enc")
-    return V.encoded(p, BITS, ["id", "k"]).withColumn("h", F.md5(F.concat(F.col("q"), F.encode(F.col("k").cast("string"), "utf-8"))))
+    return V.encoded(p, FINE, ["id", "k"]).withColumn("h", F.md5(F.concat(F.col("q"), F.encode(F.col("k").cast("string"), "utf-8"))))
 
 
 def links(insights: DataFrame, least: float = 0.65, crowded: int = CROWDED) -> DataFrame:
@@ -81,18 +92,20 @@ def links(insights: DataFrame, least: float = 0.65, crowded: int = CROWDED) -> D
     A vector is represented by the set of its largest signed components; BANDS MinHash values of the
     set, each with the primary shift's metric and sign, name its buckets. All pairs within a bucket
     are compared with vectors of 8 bits a component; each bucket returns only a star for each of its
-    connected groups, so that no group is expanded into pairs. Pairs closer to the limit than the
-    rounding are compared in full where they would connect two groups. Buckets of more than
-    ``crowded`` rows are split by further MinHash rows, LEVELS times; what is crowded even then is
-    compared exactly (:func:`_blocks`). Equal vectors are one class with a star of its ids. degree:
-    links of the row within its fullest bucket.
+    groups connected by pairs that are surely linked, so that no group is expanded into pairs. Buckets
+    of more than ``crowded`` rows are split by further MinHash rows, LEVELS times; what is crowded
+    even then is compared whole (:func:`_blocks`). Links that no bucket holds, or that are closer to
+    the limit than the rounding, come from :func:`_apart`, so that none is missed. Equal vectors are
+    one class with a star of its ids. degree: links of the row within its fullest bucket.
     """
     spark = insights.sparkSession
     vec = saved(prepared(insights), "vec")
     ids = vec.groupBy("h", "id").agg(F.first("k").alias("k"))
     reps = saved(ids.groupBy("h", "k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
-    copies = ids.join(reps.where("n > 1").select("h", "rep"), "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("degree"), F.lit(True).alias("sure"))
+    copies = ids.join(reps.where("n > 1").select("h", "rep"), "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("degree"))
+    copies = saved(copies, "copies")
     one = saved(vec.join(reps.select(F.col("rep").alias("id"), F.col("n")), "id").dropDuplicates(["id"]).select("id", "k", "q"), "one")
+    forget(vec)
     n_rows = one.count()
 
     first, hot, calm, level = one.select("id", "k", "q"), None, [], 0
@@ -120,35 +133,106 @@ def links(insights: DataFrame, least: float = 0.65, crowded: int = CROWDED) -> D
         b = t["bucket"].to_numpy()
         ids = t["id"].combine_chunks()
         cuts = np.flatnonzero(np.diff(b)) + 1
-        sure, deg, maybe = [], [], []
+        sure, deg = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
             if hi - lo < 2:
                 continue
-            _bucket(V.floats(t["q"].slice(lo, hi - lo), BITS, V.DIM), np.arange(lo, hi), least, sure, deg, maybe)
-        if sure or maybe:
-            s = np.concatenate(sure) if sure else np.zeros((0, 2), np.int64)
-            m = np.concatenate(maybe) if maybe else np.zeros((0, 2), np.int64)
-            d = np.concatenate([*deg, np.zeros(len(m), np.int64)])
-            both = np.concatenate([s, m])
-            yield pa.record_batch([ids.take(pa.array(both[:, 0])), ids.take(pa.array(both[:, 1])), pa.array(d, pa.int32()), pa.array(np.arange(len(both)) < len(s))], names=["a", "b", "degree", "sure"])
+            _bucket(V.floats(t["q"].slice(lo, hi - lo), BITS, V.DIM), np.arange(lo, hi), least, sure, deg)
+        if sure:
+            s = np.concatenate(sure)
+            yield pa.record_batch([ids.take(pa.array(s[:, 0])), ids.take(pa.array(s[:, 1])), pa.array(np.concatenate(deg), pa.int32())], names=["a", "b", "degree"])
 
     parts = spread(spark, n_rows * BANDS * 170.0)
     found = reduce(DataFrame.unionByName, calm).select("bucket", "id", "q").repartition(parts, "bucket").mapInArrow(compare, LINK)
     if blocks is not None:
         found = found.unionByName(blocks)
-    found = saved(found.unionByName(copies).groupBy("a", "b").agg(F.max("degree").alias("degree"), F.max("sure").alias("sure")), "links")
-    unsure = found.where("not sure")
-    if unsure.isEmpty():
-        return found.select("a", "b", "degree")
-    ends = saved(unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct(), "ends")
-    exact = saved(V.usable(insights).join(small(ends, 100_000), "id", "left_semi").select("id", "enc").dropDuplicates(["id"]), "full")
-    true = unsure.join(exact.select(F.col("id").alias("a"), F.col("enc").alias("ea")), "a").join(exact.select(F.col("id").alias("b"), F.col("enc").alias("eb")), "b").where(V.cosine("ea", "eb") >= least)
-    return found.where("sure").select("a", "b", "degree").unionByName(true.select("a", "b", "degree"))
+    found = saved(found.unionByName(copies).groupBy("a", "b").agg(F.max("degree").alias("degree")), "links")
+    return found.unionByName(_apart(insights, one, found, copies, n_rows, least))
+
+
+def _apart(insights: DataFrame, one: DataFrame, found: DataFrame, copies: DataFrame, n_rows: int, least: float) -> DataFrame:
+    """(a, b, degree): links that join the groups of ``found``: none is missed.
+
+    Blocks of up to BLOCK rows of one metric and sign meet each other once, in a Cartesian product
+    that each task reads from the saved blocks, so nothing is shuffled; blocks that lie in one and the
+    same group are passed over. A pair of blocks returns a star for each set of groups that it joins.
+    Pairs closer to the limit than the rounding of 16-bit vectors are compared in full, with all
+    vectors of both classes. The work is the square of the rows of a metric and sign.
+    """
+    spark = insights.sparkSession
+    group = saved(connected_components(found), "groups")
+    rows = one.join(group, "id", "left").select("id", "k", F.xxhash64(F.coalesce("root", "id")).alias("root"), "q")
+    rows = rows.repartitionByRange(spread(spark, n_rows * 300.0), "k", "root", "id")
+    blocks = saved(rows.mapInArrow(_packed, "block bigint, k bigint, only bigint, ids array<string>, roots binary, q binary"), "blocks")
+    forget(one)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(n_rows * 300.0 / 64e6) + 1)  # their square is the number of tasks
+    x, y = (blocks.coalesce(tasks).select([F.col(c).alias(f"{c}_{side}") for c in blocks.columns]) for side in "xy")
+    once = (F.col("block_x") == F.col("block_y")) | (((F.col("block_x") + F.col("block_y")) % 2 == 0) == (F.col("block_x") < F.col("block_y")))
+    mixed = F.col("only_x").isNull() | F.col("only_y").isNull() | (F.col("only_x") != F.col("only_y"))
+
+    def compare(batches):
+        for b in batches:
+            for n in range(b.num_rows):
+                p, q = (V.floats(b.column(c).slice(n, 1), FINE, V.DIM) for c in ("q_x", "q_y"))
+                root = np.concatenate([np.frombuffer(b.column(c)[n].as_py(), np.int64) for c in ("roots_x", "roots_y")])
+                at, other, sure = _joins(p, q, root, least)
+                if len(at):
+                    ids = pa.concat_arrays([b.column(c)[n].values for c in ("ids_x", "ids_y")])
+                    yield pa.record_batch([ids.take(pa.array(at)), ids.take(pa.array(other)), pa.array(sure)], names=["a", "b", "sure"])
+
+    met = x.hint("shuffle_replicate_nl").join(y, (F.col("k_x") == F.col("k_y")) & once & mixed)
+    more = saved(met.select("ids_x", "roots_x", "q_x", "ids_y", "roots_y", "q_y").mapInArrow(compare, "a string, b string, sure boolean").distinct(), "joins")
+    forget(blocks)
+    sure, unsure = more.where("sure").select("a", "b"), more.where("not sure").select("a", "b")
+    if not unsure.isEmpty():
+        ends = saved(unsure.select(F.col("a").alias("rep")).union(unsure.select("b")).distinct(), "ends")
+        ids = ends.select("rep", F.col("rep").alias("id")).unionByName(copies.select(F.col("a").alias("rep"), F.col("b").alias("id")).join(small(ends, 100_000), "rep", "left_semi"))
+        full = saved(V.usable(insights).join(small(saved(ids, "members"), 100_000), "id").select("rep", "enc").distinct(), "full")
+        true = unsure.join(full.select(F.col("rep").alias("a"), F.col("enc").alias("ea")), "a").join(full.select(F.col("rep").alias("b"), F.col("enc").alias("eb")), "b").where(V.cosine("ea", "eb") >= least)
+        sure = sure.unionByName(true.select("a", "b").distinct())
+    return sure.withColumn("degree", F.lit(1))
+
+
+def _packed(batches):
+    """Rows (id, k, root, q) of a partition in blocks of up to BLOCK rows of one k, in the order of their roots; only: the root of all, if one."""
+    t = V.whole_partition(batches)
+    if t is None:
+        return
+    t = t.sort_by([("k", "ascending"), ("root", "ascending")]).combine_chunks()
+    k, root = t["k"].to_numpy(), t["root"].to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(k)) + 1), len(k)]
+    ranges = [(lo, min(lo + BLOCK, end)) for start, end in zip(cuts, cuts[1:], strict=False) for lo in range(start, end, BLOCK)]
+    first = TaskContext.get().partitionId() << 32
+    for n, (lo, hi) in enumerate(ranges):
+        part = t.slice(lo, hi - lo)
+        only = int(root[lo]) if root[lo] == root[hi - 1] else None
+        held = [first + n, int(k[lo]), only, part["id"].to_pylist(), root[lo:hi].tobytes(), b"".join(part["q"].to_pylist())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        yield pa.record_batch([pa.array([v], kind) for v, kind in zip(held, kinds, strict=True)], names=["block", "k", "only", "ids", "roots", "q"])
+
+
+def _joins(x: np.ndarray, y: np.ndarray, root: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, sure): stars of the groups that links between x and y join, and unsure pairs of groups still apart; rows of y follow those of x."""
+    ex, ey = errors(x, FINE), errors(y, FINE)
+    s = x @ y.T
+    r, c = np.divmod(np.flatnonzero(s >= np.float32(least - ex.max() - ey.max())), len(y))
+    apart = root[r] != root[len(x) + c]
+    r, c = r[apart], c[apart]
+    if not len(r):
+        return r, c, np.zeros(0, bool)
+    over, e = s[r, c] - least, ex[r] + ey[c]
+    c += len(x)
+    names, first, code = np.unique(root, return_index=True, return_inverse=True)
+    sure = over >= e
+    label = roots(code[r[sure]], code[c[sure]], len(names))
+    star = np.flatnonzero(label != np.arange(len(names)))
+    odd = ~sure & (over >= -e) & (label[code[r]] != label[code[c]])
+    return np.concatenate([first[label[star]], r[odd]]), np.concatenate([first[star], c[odd]]), np.arange(len(star) + int(odd.sum())) < len(star)
 
 
 def _names(b: pa.RecordBatch, level: int) -> tuple[np.ndarray, np.ndarray]:
     """(path, bucket) of all copies of a batch's rows, copy by copy."""
-    tokens = token_sets(V.floats(b.column("q"), BITS, V.DIM))
+    tokens = token_sets(V.floats(b.column("q"), BITS if level else FINE, V.DIM))
     if not level:
         got = banded(b.column("k").to_numpy().astype(np.uint64), tokens)
     else:
@@ -157,15 +241,16 @@ def _names(b: pa.RecordBatch, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _route(level: int):
-    """Rows to their buckets: (id, k, q) at level 0, else (bucket, path, id, q) of crowded buckets to their branches."""
+    """Rows to their buckets: (id, k, q) at level 0, where q gets BITS, else (bucket, path, id, q) of crowded buckets to their branches."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 8_192):
                 part = b.slice(at, 8_192)
                 path, bucket = _names(part, level)
+                q = part.column("q") if level else V.blobs(V.fixed_point(V.floats(part.column("q"), FINE, V.DIM), BITS)[0])
                 take = pa.array(np.tile(np.arange(part.num_rows), len(bucket) // part.num_rows))
-                yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(path.astype(np.int32)), part.column("id").take(take), part.column("q").take(take)], names=["bucket", "path", "id", "q"])
+                yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(path.astype(np.int32)), part.column("id").take(take), q.take(take)], names=["bucket", "path", "id", "q"])
 
     return run
 
@@ -183,7 +268,7 @@ def _crowded(source: DataFrame, level: int, crowded: int) -> DataFrame:
 
 
 def _blocks(hot: DataFrame, many: DataFrame, least: float, crowded: int) -> DataFrame:
-    """Links that span the connected groups of crowded buckets: none is left out.
+    """Links that span the surely connected groups of crowded buckets.
 
     Each bucket's first row links all rows surely near to it, which are thereby one group. The
     others are compared with every row of the bucket, in blocks of about ``crowded`` by ``crowded``
@@ -198,12 +283,12 @@ def _blocks(hot: DataFrame, many: DataFrame, least: float, crowded: int) -> Data
         for b in batches:
             if b.num_rows:
                 x, y = V.floats(b.column("q"), BITS, V.DIM), V.floats(b.column("lq"), BITS, V.DIM)
-                yield pa.record_batch([b.column("bucket"), b.column("id"), b.column("q"), b.column("lid"), pa.array((x * y).sum(1) >= least + SLACK)], names=["bucket", "id", "q", "lid", "linked"])
+                yield pa.record_batch([b.column("bucket"), b.column("id"), b.column("q"), b.column("lid"), pa.array((x * y).sum(1) >= least + errors(x, BITS) + errors(y, BITS))], names=["bucket", "id", "q", "lid", "linked"])
 
     x = saved(hot.join(small(lead, 50_000), "bucket").select("bucket", "id", "q", "lid", "lq").mapInArrow(near, "bucket bigint, id string, q binary, lid string, linked boolean"), "near")
-    linked, sure = x.where("linked and id <> lid"), F.lit(True).alias("sure")
-    stars = linked.select(F.col("lid").alias("a"), F.col("id").alias("b"), F.lit(1).alias("degree"), sure)
-    heads = linked.groupBy("bucket", "lid").agg(F.count(F.lit(1)).cast("int").alias("degree")).select(F.col("lid").alias("a"), F.col("lid").alias("b"), "degree", sure)
+    linked = x.where("linked and id <> lid")
+    stars = linked.select(F.col("lid").alias("a"), F.col("id").alias("b"), F.lit(1).alias("degree"))
+    heads = linked.groupBy("bucket", "lid").agg(F.count(F.lit(1)).cast("int").alias("degree")).select(F.col("lid").alias("a"), F.col("lid").alias("b"), "degree")
     rest = x.where("not linked")
     parts_of = lambda n: F.ceil(F.col(n) / crowded).cast("int")
     size = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).join(many, "bucket").select("bucket", "n", "m", parts_of("n").alias("all_in"), parts_of("m").alias("rest_in"))
@@ -239,44 +324,36 @@ def _blocks(hot: DataFrame, many: DataFrame, least: float, crowded: int) -> Data
 
 
 def _forest(names: pa.Array, ask: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, least: float) -> pa.RecordBatch:
-    """Stars of the groups that links between two blocks of rows connect, and unsure pairs between groups."""
-    a, b, ua, ub = [], [], [], []
+    """Stars of the groups that sure links between two blocks of rows connect."""
+    a, b, ex, ey = [], [], errors(x, BITS), errors(y, BITS)
+    degree = np.zeros(len(names), dtype=np.int64)
     for lo in range(0, len(x), 2_048):
         s = x[lo : lo + 2_048] @ y.T
         s[ask[lo : lo + 2_048, None] == other[None, :]] = -1
-        hit = s >= least + SLACK
-        for keep, p, q in ((hit, a, b), ((s >= least - SLACK) & ~hit, ua, ub)):
-            r, c = np.nonzero(keep)
-            p.append(ask[lo + r])
-            q.append(other[c])
-    a, b, ua, ub = map(np.concatenate, (a, b, ua, ub))
-    degree = np.bincount(a, minlength=len(names))
+        degree[ask[lo : lo + 2_048]] = (s >= least).sum(1)
+        r, c = np.nonzero(s - ey >= least + ex[lo : lo + 2_048, None])
+        a.append(ask[lo + r])
+        b.append(other[c])
+    a, b = map(np.concatenate, (a, b))
     root = roots(np.minimum(a, b), np.maximum(a, b), len(names))
     star = np.flatnonzero(root != np.arange(len(names)))
-    odd = root[ua] != root[ub]
-    one, two = np.concatenate([root[star], ua[odd]]), np.concatenate([star, ub[odd]])
-    d = np.concatenate([degree[star], np.zeros(int(odd.sum()), np.int64)])
-    return pa.record_batch([names.take(pa.array(one)), names.take(pa.array(two)), pa.array(d, pa.int32()), pa.array(np.arange(len(one)) < len(star))], names=["a", "b", "degree", "sure"])
+    return pa.record_batch([names.take(pa.array(root[star])), names.take(pa.array(star)), pa.array(degree[star], pa.int32())], names=["a", "b", "degree"])
 
 
-def _bucket(x: np.ndarray, at: np.ndarray, least: float, sure: list, deg: list, maybe: list) -> None:
-    """Stars of the connected groups of one bucket, and unsure pairs between them."""
+def _bucket(x: np.ndarray, at: np.ndarray, least: float, sure: list, deg: list) -> None:
+    """Stars of the surely connected groups of one bucket, with the links of each row."""
     n = len(x)
-    a, b, ua, ub = [], [], [], []
+    a, b, e = [], [], errors(x, BITS)
     degree = np.zeros(n, dtype=np.int64)
     for lo in range(0, n, 2_048):
         s = x[lo : lo + 2_048] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -1
-        hit = s >= least + SLACK
-        degree[lo : lo + len(s)] = hit.sum(1)
+        hit = s - e >= least + e[lo : lo + 2_048, None]
+        degree[lo : lo + len(s)] = (s >= least).sum(1)
         r, c = np.nonzero(hit)
         k = c > r + lo
         a.append(r[k] + lo)
         b.append(c[k])
-        r, c = np.nonzero((s >= least - SLACK) & ~hit)
-        k = c > r + lo
-        ua.append(r[k] + lo)
-        ub.append(c[k])
     root = roots(np.concatenate(a), np.concatenate(b), n)
     star = np.flatnonzero(root != np.arange(n))
     if len(star):
@@ -285,10 +362,6 @@ def _bucket(x: np.ndarray, at: np.ndarray, least: float, sure: list, deg: list,
         heads = np.unique(root[star])
         sure.append(np.stack([at[heads], at[heads]], 1))  # a head's own degree travels as a self-link
         deg.append(degree[heads])
-    ua, ub = np.concatenate(ua), np.concatenate(ub)
-    k = root[ua] != root[ub]
-    if k.any():
-        maybe.append(at[np.stack([ua[k], ub[k]], 1)])
 
 
 def found_clusters(insights: DataFrame, least: float = 0.65, min_size: int = 5) -> DataFrame:
